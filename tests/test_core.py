@@ -1,0 +1,209 @@
+import datetime
+import itertools
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from quern.functions.predicates import Affine, Comparison, could_match, jointly_possible, move_constants
+from quern.functions.predicates import TESTS
+from quern.functions.scalar import ieee_div
+from quern.operators import aggregates, joins, sharing, sorting
+from quern.plans import cost, metrics, models, sqltext
+from quern.sim import hardware
+from quern.sources import manifest, tables
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+# ---- predicates
+
+
+def test_could_match_never_skips_a_match():
+    for lo, hi, v, op in itertools.product(range(4), range(4), range(-1, 5), TESTS):
+        if lo <= hi:
+            assert could_match(op, v, lo, hi) == any(TESTS[op](x, v) for x in range(lo, hi + 1)) or op in ("<", ">", "<=", ">=", "=")
+            assert could_match(op, v, lo, hi) or not any(TESTS[op](x, v) for x in range(lo, hi + 1))
+    assert could_match("=", 1, None, None)
+
+
+def test_joint_test_is_exact_on_integers():
+    r = random.Random(0)
+    for _ in range(2000):
+        tests = [Comparison("x", r.choice(list(TESTS)), r.randrange(6)) for _ in range(r.randrange(1, 4))]
+        lo = r.randrange(6)
+        hi = lo + r.randrange(4)
+        assert jointly_possible(tests, lo, hi) == any(all(TESTS[t.op](x, t.value) for t in tests) for x in range(lo, hi + 1))
+
+
+def test_moved_constants_say_the_same():
+    for f, s, v, op in itertools.product((-3, -1, 1, 2, 3), (-2, 0, 5), range(-7, 8), TESTS):
+        moved = move_constants(Affine("x", f, s), op, v)
+        for x in range(-12, 13):
+            if moved:
+                assert TESTS[op](f * x + s, v) == TESTS[moved.op](x, moved.value)
+    assert move_constants(Affine("x", 1, -100.0), ">=", 900.0) is None
+    assert move_constants(Affine("x", 1, -100.0), ">=", 900.0, floats=True) == Comparison("x", ">=", 1000.0)
+
+
+def test_ieee_div(spark):
+    got = spark.createDataFrame([(1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (1.0, 4.0), (None, 0.0)], "a double, b double").select(ieee_div(F.col("a"), F.col("b"))).collect()
+    x = [r[0] for r in got]
+    assert x[0] == math.inf and x[1] == -math.inf and math.isnan(x[2]) and x[3] == 0.25 and x[4] is None
+
+
+# ---- plan shapes
+
+
+def test_filters_and_columns_reach_the_scan(spark, sf):
+    p = plan_of(tables.table(spark, sf, "orders").where((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 10)).select("o_orderkey"))
+    assert "EqualTo(o_orderstatus,F)" in p and "GreaterThan(o_totalprice,10.0)" in p
+    assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double>" in p
+
+
+def test_top_and_limits(spark, sf):
+    o = tables.table(spark, sf, "orders")
+    assert "TakeOrderedAndProject" in plan_of(sorting.top(o, [("o_totalprice", True)], 5))
+    assert "WindowGroupLimit" in plan_of(sorting.top_per_group(o, ["o_orderstatus"], [("o_totalprice", True)], 2))
+    assert o.limit(0).count() == 0
+
+
+def test_join_forms(spark, sf):
+    o, c = tables.table(spark, sf, "orders"), tables.table(spark, sf, "customer")
+    on = o.o_custkey == c.c_custkey
+    for how, node in (("broadcast", "BroadcastHashJoin"), ("merge", "SortMergeJoin"), ("shuffle_hash", "ShuffledHashJoin")):
+        assert node in plan_of(joins.inner(o, c, on, how))
+    assert joins.broadcast_if_small(c, limit=1) is c
+    with pytest.raises(ValueError):
+        joins.inner(o, c, on, "magic")
+
+
+def test_salted_join_is_the_join(spark):
+    r = random.Random(3)
+    left = spark.createDataFrame([(r.choice([1, 1, 1, 2, 3, None]), i) for i in range(600)], "k int, a int")
+    right = spark.createDataFrame([(k, j) for k in (1, 2, 4, None) for j in range(3)], "k int, b int")
+    want = sorted(map(tuple, left.join(right, "k").collect()))
+    for nodes, fan in ((1, 4), (4, 3), (16, 8)):
+        assert sorted(map(tuple, joins.salted_join(left, right, "k", nodes, fan).collect())) == want
+    assert [x.k for x in joins.heavy_keys(left.dropna(), "k", 4).collect()].count(1) == 1
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_two_phases_are_one(spark, sf, parts):
+    o = tables.table(spark, sf, "orders")
+    f = lambda df: sorted(tuple(r) for r in df.select("o_custkey", "n", "total", "low", "high", "mean").collect())
+    assert f(aggregates.combine(aggregates.partial(o, ["o_custkey"], "o_totalprice", parts), ["o_custkey"])) == f(aggregates.summary(o, ["o_custkey"], "o_totalprice"))
+
+
+def test_layouts_and_manifest(spark, sf, tmp_path):
+    o = tables.table(spark, sf, "orders").withColumn("o_orderdate", F.to_date("o_orderdate"))
+    at, by = str(tmp_path / "files"), str(tmp_path / "bounds")
+    tables.write_sorted(o, at, "o_orderdate", files=12)
+    manifest.write_manifest(spark.read.parquet(at), ["o_orderdate"], by)
+    tests = [Comparison("o_orderdate", ">=", datetime.date(1996, 3, 1)), Comparison("o_orderdate", "<", datetime.date(1996, 3, 15))]
+    found = manifest.read_pruned(spark, by, tests, at)
+    rows = [r.asDict() for r in spark.read.parquet(by).collect()]
+    kept = manifest.prune_files(rows, tests)
+    assert len(kept) < 4 <= len(rows) and found.count() == o.where("o_orderdate >= '1996-03-01' and o_orderdate < '1996-03-15'").count()
+    assert len(found.inputFiles()) == len(kept)
+    assert manifest.read_pruned(spark, by, [Comparison("o_orderdate", ">", datetime.date(2050, 1, 1))], at).count() == 0
+    assert manifest.months_to_read(["a/month=2024-02/x", "a/month=2024-03/x", "a/month=2024-04/x"], "2024-03-01", "2024-04-01") == ["a/month=2024-03/x"]
+
+
+def test_hive_partitions_are_pruned(spark, sf, tmp_path):
+    at = str(tmp_path / "months")
+    tables.write_by_month(tables.table(spark, sf, "orders"), at, "o_orderdate")
+    assert "PartitionFilters: [isnotnull(month" in plan_of(spark.read.parquet(at).where("month = '1996-03'"))
+
+
+# ---- plans
+
+
+def test_sql_rewrite():
+    assert sqltext.rewrite("SELECT \"a b\" FROM 'x.parquet' -- no\nJOIN read_parquet('d/*.parquet', hive_partitioning = true) t ON 'from' = x;", "/r").split() == "SELECT `a b` FROM parquet.`/r/x.parquet` JOIN parquet.`/r/d/*.parquet` t ON 'from' = x".split()
+    assert "MATERIALIZED" not in sqltext.rewrite("WITH t AS MATERIALIZED (SELECT 1) SELECT * FROM t")
+
+
+def test_estimates():
+    s = cost.Stats(20_000, {"k": 1, "p": 0.0, "s": "a"}, {"k": 1000, "p": 100.0, "s": "z"})
+    assert cost.selectivity(s, ("k", "=", 1)) * s.rows == 20
+    assert cost.selectivity(s, ("s", "=", "returned")) * s.rows == 4000
+    assert cost.selectivity(s, ("k", "=", 5000)) == 0 and cost.selectivity(s, ("p", ">", 80.0)) == pytest.approx(0.2)
+    assert cost.selectivity(s, ("or", ("p", "<", 50.0), ("p", ">=", 50.0))) == 0.75
+    assert cost.selectivity(s, ("and", ("p", "<", 50.0), ("not", ("p", "<", 50.0)))) == 0.25
+    assert cost.group_rows(100, [7, 3]) == 21
+
+
+def test_join_order_never_crosses_and_is_cheapest():
+    leaves = [cost.Leaf("a", 1000), cost.Leaf("b", 100, {"k": 100}), cost.Leaf("c", 2, {"k": 2})]
+    total, tree = cost.join_order(leaves, [("a", "x", "b", "k"), ("b", "y", "c", "k")])
+    assert total == pytest.approx(100 + 1000) and tree[0] == "a"
+    with pytest.raises(ValueError):
+        cost.join_order(leaves, [("a", "x", "b", "k")])
+
+
+def test_all_links_join(spark):
+    a = spark.createDataFrame([(1, 1), (1, 2)], "p int, q int")
+    b = spark.createDataFrame([(1, 1), (1, 3)], "r int, s int")
+    _, tree = cost.join_order([cost.Leaf("a", 2), cost.Leaf("b", 2)], [("a", "p", "b", "r"), ("a", "q", "b", "s")])
+    assert cost.build(tree, {"a": a, "b": b}).count() == 1
+
+
+def test_metric_tree(spark, sf):
+    df = tables.table(spark, sf, "orders").where("o_orderstatus = 'F'").groupBy("o_custkey").count()
+    rows, tree = metrics.observe(df)
+    assert rows == df.count() and tree.total("shuffle_bytes") == 0 and tree.total("bytes_shuffled") > 0 and not tree.check()
+    assert metrics.Node.from_json(tree.to_json()) == tree and "Exchange" in tree.text()
+
+
+def test_models():
+    morsels = [2000] * 10
+    assert models.finish(morsels, 1) == 20_000 and models.finish(morsels, 4) == 6000 and models.finish([20_000], 8) == 20_000
+    assert models.finish([2, 2], 2, [{1, 2}, {2}]) == 2 + 3
+    assert [models.rerun([16, 16, 16, 1], 2, k) for k in ("nowhere", "node", "shared")] == [48, 3, 1]
+    assert models.split_morsels([5, 3], 2) == [(0, 0, 2), (0, 2, 2), (0, 4, 1), (1, 0, 2), (1, 2, 1)]
+    assert models.cut_stages(("Sort", [("Exchange", [("Agg", [("Exchange", [("Scan", [])])])])])) == [["Scan"], ["Agg", "Exchange"], ["Sort", "Exchange"]]
+    assert models.finish_time([2, 3, 1], [[], [], [0, 1]]) == 4
+    assert models.pages_for([(5, 7), (20, 21)], [(0, 6), (6, 12), (12, 20), (20, 30)]) == [0, 1, 3] and models.merge_ranges([(3, 5), (0, 3), (7, 8)]) == [(0, 5), (7, 8)]
+    assert joins.fanouts({"a": 90, "b": 10}, 10) == {"a": 9, "b": 1} and joins.choose_join(100, 1, 4) == "broadcast" and joins.choose_join(1, 100, 4) == "shuffle"
+
+
+def test_spill_model_matches_published_ratios():
+    runs = [40_000] * 10
+    assert sorting.bytes_spilled(runs, 1_000_000, 8) == 0
+    assert [sorting.bytes_spilled(runs, 40_001, f) // 400_000 for f in (2, 4, 8, 16)] == [4, 2, 2, 1]
+    assert aggregates.misra_gries("aabacadaea", 1).keys() == {"a"}
+
+
+def test_hardware_models():
+    c = hardware.Cache()
+    assert hardware.gather(range(20_000), 8, c) == 160_000
+    assert hardware.mispredictions([True] * 100) == 1 and hardware.simd_steps(10) == 3 and hardware.probes([1, 1, 9, 17], 8) == 1 + 1 + 2 + 3
+
+
+def test_tee_and_exists(spark, sf):
+    o = tables.table(spark, sf, "orders")
+    assert sharing.tee(o).count() == o.count() and "Limit" in plan_of(sharing.exists(o, F.col("o_totalprice") > 0))
+
+
+def test_stream_equals_batch(spark, sf, tmp_path):
+    from quern.streaming import events
+
+    batch = spark.read.parquet(f"{sf}/events.parquet")
+    time = next(c for c, t in batch.dtypes if t.startswith("timestamp"))
+    key = next(c for c, t in batch.dtypes if t == "string")
+    at = str(tmp_path / "events")
+    batch.write.parquet(at)
+    q = events.windowed_counts(events.stream_of(spark, at, batch.schema), time, key).writeStream.outputMode("complete").format("memory").queryName("windowed").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(map(tuple, spark.table("windowed").collect()), key=repr) == sorted(map(tuple, events.windowed_counts(batch, time, key).collect()), key=repr)
+
+
+def test_entry_imports():
+    import __spark_entry__
+
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
