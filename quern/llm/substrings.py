@@ -289,7 +289,8 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, ke
     """
     if anchor & (anchor - 1) or not 1 < anchor < window:
         raise ValueError("anchor must be a power of two below the window")
-    found = scan(df, key, text, window, anchor).repartition("prefix")
+    # stored, so that texts are cut once; copies are summed by prefix before the shuffle
+    found = materialize(scan(df, key, text, window, anchor), "segments")
     met = found.groupBy("prefix").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("segment").alias("s0"), F.max("segment").alias("s1"))
     met = met.where("lo <> hi").select("prefix", (F.col("s0") != F.col("s1")).alias("varied"))
     again = materialize(found.join(met, "prefix"), "repeats")
@@ -303,13 +304,14 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, ke
     want = varied.join(small(large), "prefix", "left").withColumn("split", F.coalesce("split", F.lit(False)))
     want = want.groupBy("id", "text_id").agg(F.collect_list(F.struct("prefix", "segment", "first", "n", "split")).alias("wanted"))
     texts = df.select(key, text_id(text).alias("text_id"), raw(text).alias("text"))
-    asked = texts.join(small(want).withColumnRenamed("text_id", "_t"), F.expr(f"cast({key} as long) = id AND text_id = _t"))
+    # both joins with the texts shuffle at every size: their other side grows with the corpus
+    asked = texts.join(want.withColumnRenamed("text_id", "_t"), F.expr(f"cast({key} as long) = id AND text_id = _t"))
     cut = cut_words(asked.select("text", "id", "wanted"), window).repartition("unit").sortWithinPartitions("unit")
     deep = materialize(trees(cut, window), "deep").withColumnRenamed("n", "m").withColumnRenamed("id", "_id")
     inner = again.join(deep, ["prefix", "segment"]).where("id = _id").select("id", "text_id", (F.col("first") + F.col("at")).alias("at"), F.col("m").alias("n"))
     covered = copies.unionByName(inner).groupBy("id", "text_id").agg(F.collect_list(F.struct("at", "n")).alias("covered"))
     covered = materialize(covered, "covered").withColumnRenamed("text_id", "_t")
-    whole = texts.join(small(covered), F.expr(f"cast({key} as long) = id AND text_id = _t"), "left").select(key, "text", "covered")
+    whole = texts.join(covered, F.expr(f"cast({key} as long) = id AND text_id = _t"), "left").select(key, "text", "covered")
     return strip(whole, dict(df.dtypes)[key], key, window, keep_text)
 
 
