@@ -11,6 +11,7 @@ from quern.functions.predicates import TESTS
 from quern.functions.scalar import ieee_div
 from quern.operators import aggregates, joins, sharing, sorting
 from quern.plans import cost, metrics, models, sqltext
+from quern.session import setting
 from quern.sim import hardware
 from quern.sources import manifest, tables
 
@@ -59,7 +60,8 @@ def test_ieee_div(spark):
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf):
-    p = plan_of(tables.table(spark, sf, "orders").where((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 10)).select("o_orderkey"))
+    with setting(spark, spark__sql__maxMetadataStringLength="2000"):
+        p = plan_of(tables.table(spark, sf, "orders").where((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 10)).select("o_orderkey"))
     assert "EqualTo(o_orderstatus,F)" in p and "GreaterThan(o_totalprice,10.0)" in p
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double>" in p
 
