@@ -8,6 +8,7 @@ and repeats its bins m times, the next one what is left with a smaller m. No pie
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ END = 1
 PER_PASS = 1 << 19
 STEP = 16
 #: Marks that are a token of their own at the end of a word.
-TAIL = b".,;:!?|%$*&#\"()"
+TAIL = ".,;:!?|%$*&#\"()"
 
 
 def vocabulary() -> str:
@@ -55,45 +56,47 @@ class Encoder:
         self.closes = np.zeros(self.t.get_vocab_size(), dtype=bool)
         self.closes[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        self.cores: dict[str, bytes] = {"": b""}
         self.bound = bound
 
-    def one(self, word: bytes) -> bytes:
-        ids = self.t.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+    def ids(self, text: str) -> np.ndarray:
+        # the fast form leaves out offsets, which nobody reads here
+        return np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def learn_cores(self, cores: list[bytes]) -> None:
-        plain = [c for c in cores if (s := c.decode("utf-8", "replace")).isalpha() and "İ" not in s]
+    def learn_cores(self, cores: list[str]) -> None:
+        plain = [c for c in cores if c.isalpha() and "İ" not in c]
         if plain:
-            ids = np.array(self.t.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, dtype="<u4")
+            ids = self.ids(" ".join(plain))
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(plain) and ends[-1] == len(ids):
-                at = 0
-                for c, end in zip(plain, ends.tolist(), strict=True):
-                    self.cores[c] = ids[at:end].tobytes()
+                data, at = ids.tobytes(), 0
+                for c, end in zip(plain, (4 * ends).tolist(), strict=True):
+                    self.cores[c] = data[at:end]
                     at = end
         for c in cores:
             if c not in self.cores:
-                self.cores[c] = self.one(c)
+                self.cores[c] = self.ids(c).tobytes()
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.words) + len(words) > self.bound:
             self.words.clear()
         if len(self.cores) > self.bound:
-            self.cores.clear()
-        parts = {}
-        for w in words:
-            core = w.rstrip(TAIL)
-            last = core[-4:].decode("utf-8", "ignore")[-1:]
+            self.cores = {"": b""}
+        new = list(words)
+        cores, tails = [], []
+        for s in b"\n".join(new).decode("utf-8", "replace").split("\n"):
+            core = s.rstrip(TAIL)
+            last = core[-1:]
             # in lower case the letter İ ends in a mark, which joins the marks behind it
-            if core and last != "İ" and (last.isalpha() or last.isdecimal()) and b"<|" not in w:
-                parts[w] = (core.lower(), w[len(core) :])
+            if (last.isalpha() or last.isdecimal()) and last != "İ" and "<|" not in s:
+                cores.append(core.lower() if core.isascii() else core)
+                tails.append(s[len(core) :])
             else:
-                parts[w] = (w, b"")
-        need = {x for p in parts.values() for x in p if x and x not in self.cores}
-        self.learn_cores(sorted(need))
-        for w, (core, tail) in parts.items():
-            self.words[w] = self.cores[core] + (self.cores[tail] if tail else b"")
+                cores.append(s)
+                tails.append("")
+        self.learn_cores(list(set(cores).union(tails).difference(self.cores)))
+        known = self.cores
+        self.words.update(zip(new, [known[c] + known[t] if t else known[c] for c, t in zip(cores, tails, strict=True)], strict=True))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
@@ -109,6 +112,12 @@ class Encoder:
         return [b"".join(map(known, w)) for w in split]
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One a Python worker: its next tasks find the words of those before."""
+    return Encoder(path)
+
+
 def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of documents: key, text_id, piece, start, length, ids_crc32, and ids as binary
     of little-endian unsigned 32-bit numbers, closed by the end id."""
@@ -116,7 +125,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, k
     close = np.array([end], dtype="<u4").tobytes()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         for b in slices(batches, 2 << 20):
             own, names, at = [], [], []
             for k, ids in enumerate(encode(b.column(2).to_pylist())):
