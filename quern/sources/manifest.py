@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import datetime
 import json
+import struct
 from collections.abc import Iterable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,8 +66,41 @@ def read_pruned(spark: SparkSession, manifest_path: str, tests: list[Comparison]
     return df
 
 
-def load_json(text: str) -> list[dict]:
-    return json.loads(text)
+#: How bounds are written in metadata.json: the comparator's struct code, None for plain bytes.
+PACKED = {"I32": "<i", "I64": "<q", "F64": "<d", "BYTES": None}
+
+
+def bounds_of(t: pa.Table) -> dict[str, dict[str, str]]:
+    """Bounds of each column of one file as metadata.json has them: hex of PLAIN values."""
+    out = {}
+    for f in t.schema:
+        date = pa.types.is_date32(f.type)
+        kind = "I32" if date or pa.types.is_int32(f.type) else "I64" if pa.types.is_int64(f.type) else "F64" if pa.types.is_float64(f.type) else "BYTES"
+        values = t.column(f.name).cast(pa.int32()) if date else t.column(f.name)
+        ends = pc.min_max(values).as_py()
+        if ends["min"] is not None:
+            code = PACKED[kind]
+            pack = (lambda x: struct.pack(code, x)) if code else str.encode  # noqa: B023
+            out[f.name] = {"comparator": kind, "lower": pack(ends["min"]).hex(), "upper": pack(ends["max"]).hex()}
+    return out
+
+
+def load_metadata(text: str) -> list[dict]:
+    """Files of a metadata.json, as `prune_files` takes them. Columns without bounds are left out."""
+    about = json.loads(text)
+    dates = {c.split(":")[0] for c in about["schema"] if c.split(":")[1].strip().startswith("date32")}
+    day_0 = datetime.date(1970, 1, 1)
+
+    def plain(column: str, kind: str, digits: str):
+        data = bytes.fromhex(digits)
+        x = struct.unpack(PACKED[kind], data)[0] if PACKED[kind] else data.decode()
+        return day_0 + datetime.timedelta(x) if column in dates else x
+
+    files = []
+    for f in about["files"]:
+        ends = {f"{end}_{c}": plain(c, b["comparator"], b[name]) for c, b in f["bounds"].items() for end, name in (("low", "lower"), ("high", "upper"))}
+        files.append({"path": f["path"], "rows": f["rows"], **ends})
+    return files
 
 
 def months_to_read(paths: Iterable[str], start: str, end: str) -> list[str]:

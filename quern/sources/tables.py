@@ -16,6 +16,12 @@ def scan(spark: SparkSession, paths: str | list[str], columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
+def folder(spark: SparkSession, path: str) -> DataFrame:
+    """The Parquet files under a folder, with columns of its key=value folders; other files, such as a
+    table's metadata, are passed over."""
+    return spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
+
+
 def with_row_index(df: DataFrame, name: str = "file_row_number") -> DataFrame:
     """Position in its file of each row, straight off a file scan."""
     return df.select("*", F.col("_metadata.row_index").alias(name))
