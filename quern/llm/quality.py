@@ -1,6 +1,6 @@
 """Quality classifier with hierarchical empirical Bayes.
 
-A logistic model over word and shape features, fitted on a bounded sample of labelled documents,
+A logistic model over words, their beginnings and shapes, fitted on a bounded sample of labelled documents,
 gives each document's evidence. Evidence is gathered by host and by path under it; each site's rate
 is shrunk to the level above (path to host, host to the whole corpus) the more the fewer documents
 it has, with a strength found by moments from the spread between sites. A document's odds are then
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,66 +22,86 @@ from quern.sources.tables import table
 
 #: Labelled documents that the model is fitted on, at most: those of the smallest hash of their id.
 SAMPLE = 8192
-#: Hashed words, and how many of them the model keeps for each label.
-HASHED = 1 << 18
-CHOSEN = 64
+#: Hash buckets of words and stems, and how many of them the model keeps for each label.
+WIDTH = 18
+HASHED = 1 << WIDTH
+CHOSEN = 128
+#: Characters of the beginnings of words that count as stems.
+STEMS = (4, 5)
+BITS = np.arange(16)
 SEED = 41
-RIDGE = 0.1
+RIDGE = 0.03
 SHAPES = 10
 
 
 class Shapes(dict):
-    """Hash bucket and shape flags of each word, remembered up to a bound, in one number."""
+    """Of each word, remembered up to a bound, in one number: the hash buckets of the word and of
+    two beginnings, which its inflections share; flags of its shape; its length."""
 
     def __missing__(self, w: bytes) -> int:
-        import xxhash
-
         if len(self) > 300_000:
             self.clear()
         core = w.strip(b".,;:!?\"'()|").lower()
         flags = (not core) | (not w[-1:].isalnum() and w[-1] < 128 and w[-1:] not in b".,;:!?\"')") << 1 | core.isdigit() << 2 | w[:1].isupper() << 3
-        x = self[w] = xxhash.xxh3_64_intdigest(core, SEED) % HASHED << 8 | flags << 4 | min(15, len(core))
+        text = core if core.isascii() else core.decode("utf-8", "replace").lower()
+        x = xxhash.xxh3_64_intdigest(text, SEED) & HASHED - 1
+        for n in STEMS:  # a short word is its own stem
+            x = x << WIDTH | (xxhash.xxh3_64_intdigest(text[:n], SEED + n) & HASHED - 1 if len(text) > n else x & HASHED - 1)
+        x = self[w] = x << 8 | flags << 4 | min(15, len(core))
         return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
 def features(texts: list[bytes], known: Shapes) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct hashed words of each text, and its shape features."""
+    """Distinct buckets of the words and stems of each text, and its shape features."""
     words, shape = [], np.zeros((len(texts), SHAPES))
     for k, t in enumerate(texts):
         w = t.split()
         n = len(w)
         if not n:
-            words.append(np.zeros(0, dtype=np.int64))
+            words.append(np.zeros(0, dtype=np.int32))
             shape[k, 9] = 1
             continue
         x = np.fromiter(map(known.__getitem__, w), dtype=np.int64, count=n)
-        flags = (x >> 4) & 15
-        u = np.unique(x >> 8)
-        words.append(u)
-        size = x & 15
-        again = (x[1:] == x[:-1]).mean() if n > 1 else 0.0
-        shape[k] = [(flags & 1).mean(), ((flags >> 1) & 1).mean(), ((flags >> 2) & 1).mean(), ((flags >> 3) & 1).mean(), size.mean() / 8, size.std() / 8, min(1.0, len(u) / n**0.9), again, np.log1p(n) / 10, 0]
+        flags, size = np.bincount((x >> 4) & 15, minlength=16) / n, x & 15
+        u = distinct(x) >> 8
+        words.append(distinct(np.concatenate([u >> WIDTH * i & HASHED - 1 for i in range(1 + len(STEMS))])).astype(np.int32))
+        m = len(distinct(u))
+        again = np.count_nonzero(x[1:] == x[:-1]) / max(1, n - 1)
+        share = [flags[BITS >> i & 1 == 1].sum() for i in range(4)]
+        shape[k] = [*share, size.mean() / 8, size.std() / 8, min(1.0, m / n**0.9), again, np.log1p(n) / 10, 0]
     return words, shape
 
 
+def choose(pos: np.ndarray, seen: np.ndarray, p: int, n: int) -> np.ndarray:
+    """Buckets that tell a label best, by the squared difference of its two rates over the variance.
+    pos, seen: documents with the label, and all, in which each bucket stands."""
+    if not 0 < p < n:  # one class only
+        return np.zeros(0, dtype=np.int64)
+    both = seen / n
+    score = (pos / p - (seen - pos) / (n - p)) ** 2 / np.maximum(both * (1 - both), 1e-9)
+    score[seen < 4] = 0
+    best = np.argsort(-score, kind="stable")[:CHOSEN]
+    return np.sort(best[score[best] > 0])
+
+
 class Model:
-    """For each label: chosen hashed words, weights over them and the shapes, and the base rate."""
+    """For one label: chosen buckets, weights over them and the shapes, and the base rate."""
 
-    def __init__(self, words: list[np.ndarray], shape: np.ndarray, y: np.ndarray):
+    def __init__(self, chosen: np.ndarray, words: list[np.ndarray], shape: np.ndarray, y: np.ndarray):
         self.rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-        self.words = np.zeros(0, dtype=np.int64)
+        self.words = chosen
+        self.column = np.full(HASHED, -1, dtype=np.int32)
+        self.column[chosen] = np.arange(len(chosen))
         self.mean, self.scale = shape.mean(axis=0), shape.std(axis=0) + 1e-6
         self.w = np.zeros(1 + SHAPES)
         if y.min() == y.max():  # one class only: the base rate
             self.w[0] = np.log(self.rate / (1 - self.rate))
             return
-        pos = np.bincount(np.concatenate([w for w, t in zip(words, y, strict=True) if t]), minlength=HASHED)
-        neg = np.bincount(np.concatenate([w for w, t in zip(words, y, strict=True) if not t]), minlength=HASHED)
-        p, q = y.sum(), len(y) - y.sum()
-        both = (pos + neg) / len(y)
-        score = (pos / p - neg / q) ** 2 / np.maximum(both * (1 - both), 1e-9)
-        score[pos + neg < 4] = 0
-        self.words = np.sort(np.argsort(-score, kind="stable")[:CHOSEN])
         x = self.matrix(words, shape)
         w = np.zeros(x.shape[1])
         ridge = np.full(x.shape[1], RIDGE)
@@ -99,11 +120,9 @@ class Model:
         x[:, 0] = 1
         x[:, 1 : 1 + SHAPES] = (shape - self.mean) / self.scale
         if len(self.words):
-            sizes = [len(w) for w in words]
-            row = np.repeat(np.arange(len(words)), sizes)
-            flat = np.concatenate(words) if words else np.zeros(0, dtype=np.int64)
-            at = np.searchsorted(self.words, flat)
-            ok = (at < len(self.words)) & (self.words[np.minimum(at, len(self.words) - 1)] == flat)
+            row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+            at = self.column[np.concatenate(words)]
+            ok = at >= 0
             x[row[ok], 1 + SHAPES + at[ok]] = 1
         return x
 
@@ -113,26 +132,34 @@ class Model:
 
 
 def fit(df: DataFrame, labels: DataFrame, names: list[str], key: str, text: str, sample: int = SAMPLE) -> dict[str, Model]:
-    """One model a label, on at most `sample` labelled documents."""
+    """One model a label, on at most `sample` labelled documents. The driver gets counts of buckets
+    (HASHED rows at most) and, of each sampled document, its shapes and which chosen buckets it holds."""
     good = labels.select(F.col(key).alias("_key"), *[F.col(n).cast("int").alias(f"_{n}") for n in names]).dropna()
     # a bounded table: `sample` rows at most
     drawn = F.broadcast(good.groupBy("_key").agg(*[F.max(f"_{n}").alias(f"_{n}") for n in names]).orderBy(F.xxhash64("_key"), "_key").limit(sample))
-    rows = df.join(drawn, df[key] == drawn["_key"]).select(*[f"_{n}" for n in names], "_key", raw(text).alias("text"))
+    rows = df.join(drawn, df[key] == drawn["_key"]).select(*[(F.col(f"_{n}") > 0).cast("int").alias(f"_{n}") for n in names], F.col("_key").cast("long"), raw(text).alias("text"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         known = Shapes()
         for b in slices(batches):
             words, shape = features(b.column(b.num_columns - 1).to_pylist(), known)
-            yield pa.RecordBatch.from_pydict({**{f"_{n}": b.column(k) for k, n in enumerate(names)}, "_key": b.column(len(names)), "words": pa.array([w.astype(np.int32) for w in words], pa.list_(pa.int32())), "shape": pa.array(list(shape), pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_pydict({**{f"_{n}": b.column(k) for k, n in enumerate(names)}, "_key": b.column(len(names)), "words": pa.array(words, pa.list_(pa.int32())), "shape": pa.array(list(shape), pa.list_(pa.float64()))})
 
-    found = rows.mapInArrow(run, ", ".join(f"_{n} int" for n in names) + ", _key long, words array<int>, shape array<double>").toArrow()
-    # in the order of the key: sums come out the same however tasks ended
-    found = found.sort_by("_key").combine_chunks()
-    if not found.num_rows:
+    found = materialize(rows.mapInArrow(run, ", ".join(f"_{n} int" for n in names) + ", _key long, words array<int>, shape array<double>"), "sample")
+    sums = [F.sum(f"_{n}").cast("long").alias(f"_{n}") for n in names]
+    total = found.agg(F.count(F.lit(1)).alias("n"), *sums).first()
+    if not total["n"]:
         return {}
-    words = [np.asarray(w, dtype=np.int64) for w in found.column("words").to_pylist()]
-    shape = np.array(found.column("shape").to_pylist())
-    return {n: Model(words, shape, (found.column(f"_{n}").to_numpy() > 0).astype(float)) for n in names}
+    counts = found.select(*[f"_{n}" for n in names], F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), *sums).toArrow()
+    spread = lambda c: np.bincount(counts.column("w").to_numpy(), counts.column(c).to_numpy(), HASHED)
+    chosen = {n: choose(spread(f"_{n}"), spread("n"), total[f"_{n}"], total["n"]) for n in names}
+    told = sorted({int(w) for c in chosen.values() for w in c})
+    kept = F.array_intersect("words", F.lit(np.array(told, dtype=np.int32))) if told else F.slice("words", 1, 0)
+    # in the order of the key: sums come out the same however tasks ended
+    rows = found.select(*[f"_{n}" for n in names], "_key", kept.alias("words"), "shape").toArrow().sort_by("_key")
+    words = [np.asarray(w, dtype=np.int32) for w in rows.column("words").to_pylist()]
+    shape = np.array(rows.column("shape").to_pylist())
+    return {n: Model(chosen[n], words, shape, rows.column(f"_{n}").to_numpy().astype(float)) for n in names}
 
 
 def evidence(df: DataFrame, models: dict[str, Model], keep: list[str], text: str) -> DataFrame:
