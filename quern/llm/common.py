@@ -92,7 +92,17 @@ def rank_in_group(df: DataFrame, group: list[str], key: Column, ties: list[str],
     Rows with equal key and ties are told apart arbitrarily.
     """
     buckets = max(1, math.ceil(rows / bucket_rows))
-    x = df.withColumn("_key", key).withColumn("_bucket", F.pmod("_key", F.lit(buckets)))
+    return rank_in_buckets(df, group, key, F.pmod("_key", F.lit(buckets)), ties, out)
+
+
+def rank_in_order(df: DataFrame, group: list[str], key: str, ties: list[str], out: str, width: int = 4096) -> DataFrame:
+    """0-based rank of each row in its group by a whole number that many rows lie close in, as those
+    of `input_order`: buckets are stretches of `width` numbers."""
+    return rank_in_buckets(df, group, F.col(key), F.expr(f"_key div {width}"), ties, out)
+
+
+def rank_in_buckets(df: DataFrame, group: list[str], key: Column, bucket: Column, ties: list[str], out: str) -> DataFrame:
+    x = df.withColumn("_key", key).withColumn("_bucket", bucket)
     counts = x.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offsets = prefix_offsets(counts, group, "_bucket", "_n", "_offset")
     w = Window.partitionBy(*group, "_bucket").orderBy("_key", *ties)
@@ -100,6 +110,22 @@ def rank_in_group(df: DataFrame, group: list[str], key: Column, ties: list[str],
     return ranked.join(offsets, [*group, "_bucket"]).withColumn(out, F.col("_in") + F.col("_offset")).drop("_key", "_bucket", "_in", "_offset")
 
 
+def input_order(df: DataFrame, out: str) -> DataFrame:
+    """df with a number that grows along its rows, distinct, with gaps. Spark reads the files of a
+    stored table in any order, so there it is the file's place by name and the row's place in the
+    file; elsewhere the partition's number and the row's place in the partition."""
+    leaf = df._jdf.queryExecution().analyzed()
+    while leaf.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        leaf = leaf.children().head()
+    if leaf.nodeName() != "LogicalRelation" or not df.inputFiles():
+        return df.withColumn(out, F.monotonically_increasing_id())
+    spot = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    # one row a file on the driver; a longer name has a larger number
+    names = sorted((r[0] for r in spot.select("_file").distinct().collect()), key=lambda x: (len(x), x))
+    files = df.sparkSession.createDataFrame(list(enumerate(names)), "_nth long, _name string")
+    return spot.join(small(files), F.col("_file") == F.col("_name")).withColumn(out, F.expr("shiftleft(_nth, 33) + _at")).select(*df.columns, out)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node of each connected component, for the nodes of edges (a, b).
 

@@ -2,8 +2,12 @@
 
 Only lengths matter for a packing, and there are at most `capacity` of them: the corpus is counted
 by length, the counts are packed, and each piece takes its place by its rank among the pieces of
-its length. Counts beyond what one pass packs are divided: a pass packs count // m pieces a length
+its length: by a hash, or by its place in the input where that is to be kept. Counts beyond what one pass packs are divided: a pass packs count // m pieces a length
 and repeats its bins m times, the next one what is left with a smaller m. No piece is left out.
+
+Where the order is kept, bins come in a random order, and each takes the first pieces of its lengths
+that are left: early bins hold early pieces of every length. Sequences are then numbered by their
+longest pieces, so that the first sequences hold the first part of the input.
 """
 
 from __future__ import annotations
@@ -18,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import documents, materialize, rank_in_group, raw, slices, small, text_id
+from quern.llm.common import documents, input_order, materialize, rank_in_group, rank_in_order, raw, slices, small, text_id
 
 CAPACITY = 4096
 END = 1
 #: Pieces that one pass packs at most, about; the work on the driver stays below a few of these.
 PER_PASS = 1 << 19
 STEP = 16
+SEED = 31
 #: Marks that are a token of their own at the end of a word.
 TAIL = ".,;:!?|%$*&#\"()"
 
@@ -118,17 +123,18 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces of documents: key, text_id, piece, start, length, ids_crc32, and ids as binary
-    of little-endian unsigned 32-bit numbers, closed by the end id."""
-    schema = f"{key} {dict(df.dtypes)[key]}, text_id long, piece int, start long, length long, ids_crc32 long, ids binary"
+def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, key: str = "doc_id", text: str = "text", order: str | None = None) -> DataFrame:
+    """Pieces of documents: key, text_id, the column `order` if one is named, piece, start, length,
+    ids_crc32, and ids as binary of little-endian unsigned 32-bit numbers, closed by the end id."""
+    also = [order] if order else []
+    schema = f"{key} {dict(df.dtypes)[key]}, text_id long, {''.join(f'{c} long, ' for c in also)}piece int, start long, length long, ids_crc32 long, ids binary"
     close = np.array([end], dtype="<u4").tobytes()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for b in slices(batches, 2 << 20):
             own, names, at = [], [], []
-            for k, ids in enumerate(encode(b.column(2).to_pylist())):
+            for k, ids in enumerate(encode(b.column(b.num_columns - 1).to_pylist())):
                 ids += close
                 for p in range(0, len(ids), 4 * capacity):
                     own.append(k)
@@ -140,6 +146,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, k
                 {
                     key: b.column(0).take(take),
                     "text_id": b.column(1).take(take),
+                    **({order: b.column(2).take(take)} if order else {}),
                     "piece": pa.array(number, pa.int32()),
                     "start": pa.array(number.astype(np.int64) * capacity),
                     "length": pa.array([len(x) // 4 for x in at], pa.int64()),
@@ -148,7 +155,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, k
                 }
             )
 
-    return df.select(key, text_id(text).alias("text_id"), raw(text).alias("text")).mapInArrow(run, schema)
+    return df.select(key, text_id(text).alias("text_id"), *also, raw(text).alias("text")).mapInArrow(run, schema)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -185,9 +192,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def plan(lengths: dict[int, int], capacity: int, per_pass: int = PER_PASS) -> tuple[list[tuple], list[tuple]]:
+def plan(lengths: dict[int, int], capacity: int, per_pass: int = PER_PASS, spread: bool = False) -> tuple[list[tuple], list[tuple]]:
     """places: (length, pass, nth, first sequence, copies, offset); passes: (length, pass, rank of its
-    first piece, copies). The nth piece of a length in a pass stands for `copies` ranks."""
+    first piece, copies). The nth piece of a length in a pass stands for `copies` ranks. spread: bins
+    come in a random order, and the pieces of each length go to them in turn."""
     left = dict(lengths)
     m = max(1, math.ceil(sum(left.values()) / per_pass))
     places, passes, rank, sequences, k = [], [], dict.fromkeys(left, 0), 0, 0
@@ -202,11 +210,16 @@ def plan(lengths: dict[int, int], capacity: int, per_pass: int = PER_PASS) -> tu
             passes.append((s, k, rank[s], m))
             rank[s] += own[s] * m
             left[s] -= own[s] * m
-        for b in sum_of_squares(flat, capacity):
+        bins = sum_of_squares(flat, capacity)
+        if spread:
+            bins = [bins[i] for i in np.random.default_rng(SEED + k).permutation(len(bins))]
+        turn = dict.fromkeys(own, 0)
+        for b in bins:
             offset = 0
             for x in b:
                 s = int(flat[x])
-                places.append((s, k, x - first[s], sequences, m, offset))
+                places.append((s, k, turn[s] if spread else x - first[s], sequences, m, offset))
+                turn[s] += 1
                 offset += s
             sequences += m
         k += 1
@@ -214,34 +227,47 @@ def plan(lengths: dict[int, int], capacity: int, per_pass: int = PER_PASS) -> tu
     return places, passes
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> DataFrame:
-    """Sequence and offset of each piece. found: as of `pieces`, best a stored table."""
+def pack(found: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", order: str | None = None) -> DataFrame:
+    """Sequence and offset of each piece. found: as of `pieces`, best a stored table. order: the column
+    whose order sequences keep."""
     spark = found.sparkSession
     # at most `capacity` rows come to the driver, whatever the corpus
     counted = {int(r[0]): int(r[1]) for r in found.groupBy("length").agg(F.count(F.lit(1))).collect()}
-    places, passes = plan(counted, capacity)
+    places, passes = plan(counted, capacity, spread=order is not None)
     place = pa.table(list(map(pa.array, zip(*places, strict=True))) if places else [pa.array([], pa.int64())] * 6, names=["_length", "_pass", "_nth", "_first", "_copies", "_at"])
     stretch = pa.table(list(map(pa.array, zip(*passes, strict=True))) if passes else [pa.array([], pa.int64())] * 4, names=["_size", "_of", "_from", "_m"])
     place, stretch = spark.createDataFrame(place), spark.createDataFrame(stretch)
-    key_hash = F.xxhash64(F.col(key), "text_id", "piece")
-    ranked = rank_in_group(found, ["length"], key_hash, [key, "text_id", "piece"], sum(counted.values()), "_rank")
+    if order:
+        ranked = rank_in_order(found, ["length"], order, ["piece"], "_rank")
+    else:
+        key_hash = F.xxhash64(F.col(key), "text_id", "piece")
+        ranked = rank_in_group(found, ["length"], key_hash, [key, "text_id", "piece"], sum(counted.values()), "_rank")
     # a length has one row a pass, a handful; the table has at most that times `capacity` rows
     spans = stretch.groupBy("_size").agg(F.sort_array(F.collect_list(F.struct("_from", "_of", "_m"))).alias("_spans"))
     at = ranked.join(small(spans), F.col("length") == F.col("_size"))
     at = at.withColumn("_span", F.expr("element_at(filter(_spans, s -> s._from <= _rank), -1)"))
     at = at.withColumn("_n", F.expr("(_rank - _span._from) div _span._m")).withColumn("_copy", F.expr("(_rank - _span._from) % _span._m")).withColumn("_p", F.col("_span._of"))
     out = at.join(place, F.expr("length = _length AND _p = _pass AND _n = _nth"))
-    return out.withColumn("sequence_id", F.expr("_first + _copy")).withColumn("offset", F.col("_at")).select(*found.columns, "sequence_id", "offset")
+    out = out.withColumn("sequence_id", F.expr("_first + _copy")).withColumn("offset", F.col("_at")).select(*found.columns, "sequence_id", "offset")
+    if not order:
+        return out
+    out = materialize(out, "packed")
+    # a bin's longest piece comes first
+    lead = rank_in_order(out.where("offset = 0").select("sequence_id", order, "piece"), [], order, ["piece"], "_number")
+    lead = lead.select(F.col("sequence_id").alias("_id"), "_number")
+    return out.join(lead, F.col("sequence_id") == F.col("_id")).withColumn("sequence_id", F.col("_number")).select(*found.columns, "sequence_id", "offset")
 
 
-def pack_documents(df: DataFrame, path: str | None = None, capacity: int = CAPACITY, key: str = "doc_id") -> DataFrame:
+def pack_documents(df: DataFrame, path: str | None = None, capacity: int = CAPACITY, key: str = "doc_id", in_order: bool = False) -> DataFrame:
     """One row a piece: key, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is a document of the end id alone. Repeated and null keys are documents of
     their own. An empty table gives no rows. Columns beyond key and text aren't read.
+    in_order: sequences follow the order of df's rows, else that of hashes.
     """
-    found = pieces(df, path or vocabulary(), capacity, key=key).drop("ids")
-    return pack(materialize(found, "pieces"), capacity, key).drop("text_id")
+    order = "_order" if in_order else None
+    found = pieces(input_order(df, order) if order else df, path or vocabulary(), capacity, key=key, order=order).drop("ids")
+    return pack(materialize(found, "pieces"), capacity, key, order).drop("text_id", "_order")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,4 +275,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs)
+    """Sequences in the mixed order, which is that of the files of docs and of the rows in them."""
+    return pack_documents(docs, in_order=True)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import media, mixing, neardup, packing, quality, registry, secrets, sharding, substrings, surrogates, vectors
+from quern.llm import common, media, mixing, neardup, packing, quality, registry, secrets, sharding, substrings, surrogates, vectors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, text_id string, bits int, size string, shard string, slot int, label int"
@@ -269,6 +269,39 @@ def test_plan_places_all(per_pass):
     assert len(room) <= (least if per_pass > 3000 else 1.1 * least)
 
 
+def test_pack_keeps_the_mix(spark, tmp_path, monkeypatch):
+    r = np.random.default_rng(12)
+    # a length has many more pieces than a sequence
+    docs = [(i, "word " * int(r.integers(400, 408)), "src0" if i % 4 else "src1") for i in range(3000)]
+    source = {i: x for i, _, x in docs}
+    docs = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5)
+    share, placed = {}, {}
+    for name, weights in (("even", {"src0": 1, "src1": 1}), ("mostly0", {"src0": 6, "src1": 1})):
+        monkeypatch.setattr(mixing, "TARGETS", weights)
+        mixing.stage(spark, docs, "").write.parquet(f"{tmp_path}/{name}")
+        got = rows_of(packing.stage(spark, spark.read.parquet(f"{tmp_path}/{name}"), ""))
+        placed[name] = {x["doc_id"]: (x["sequence_id"], x["offset"]) for x in got}
+        count = len({x["sequence_id"] for x in got})
+        assert {x["sequence_id"] for x in got} == set(range(count))
+        first = Counter()
+        for x in got:
+            if x["sequence_id"] < count // 4:
+                first[source[x["doc_id"]]] += x["length"]
+        share[name] = first["src1"] / first.total()
+    assert abs(share["even"] - 1 / 2) < 0.1 and abs(share["mostly0"] - 1 / 7) < 0.07, share
+    assert placed["even"] != placed["mostly0"]
+
+
+def test_order_of_stored_rows(spark, tmp_path):
+    ends = [0, 10, 500, 600, 5000]
+    for k in range(4):  # Spark reads large files first
+        spark.range(ends[k], ends[k + 1], 1, 1).write.parquet(f"{tmp_path}/{k}")
+    stored = spark.read.parquet(*[f"{tmp_path}/{k}" for k in (2, 0, 3, 1)])
+    for df in (stored, stored.where("id % 3 > 0"), spark.range(0, 5000, 1, 7)):
+        ranked = common.rank_in_order(common.input_order(df, "_order"), [], "_order", [], "n", width=64)
+        assert [r["id"] for r in ranked.orderBy("n").collect()] == sorted(r["id"] for r in df.collect())
+
+
 # ---- vectors
 
 
