@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,37 +94,63 @@ def rows_of(column: pa.ListArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def place(classes: DataFrame, first: np.ndarray, second: np.ndarray, reach: float) -> DataFrame:
-    """cell, query (false: the vector lives here), label, class_id, copies, vector. A query goes to cells
-    after its own only: each two cells meet once."""
-    half = first.shape[1]
-    wide = len(second)
+def by_length(column: pa.ListArray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each length present, and the places of its vectors."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes):
+        yield int(size), np.flatnonzero(sizes == size)
+
+
+def books(sample: pa.ListArray, kinds: dict[int, int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Two codebooks for each length that has many vectors. kinds: codewords wanted, by length."""
+    out = {}
+    for size, at in by_length(sample):
+        if size in kinds:
+            x = unit(rows_of(sample.take(pa.array(at))))
+            half = max(1, size // 2)
+            out[size] = codebook(x[:, :half], kinds[size]), codebook(x[:, half:], kinds[size]) if size > 1 else np.zeros((1, 0))
+    return out
+
+
+def place(classes: DataFrame, found: dict[int, tuple[np.ndarray, np.ndarray]], cosine: float) -> DataFrame:
+    """cell, query (false: the vector lives here), label, size, class_id, copies, vector. A query goes to
+    cells after its own only: each two cells meet once. A length without codebooks is one cell."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                if not part.num_rows:
-                    continue
-                v = unit(rows_of(part.column(3)))
-                na, ba = region_bounds(v[:, :half], first)
-                nb, bb = region_bounds(v[:, half:], second)
-                who, cell, query = [], [], []
-                for k in range(len(v)):
-                    own = int(na[k]) * wide + int(nb[k])
+                whole = b.slice(lo, 1024)
+                for size, at in by_length(whole.column(4)) if whole.num_rows else ():
+                    part = whole.take(pa.array(at))
+                    if size not in found:
+                        n = part.num_rows
+                        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, dtype=np.int64)), pa.array(np.zeros(n, dtype=bool)), *part.columns], names=["cell", "query", *part.schema.names])
+                        continue
+                    yield cells(part, size)
+
+    def cells(part: pa.RecordBatch, size: int) -> pa.RecordBatch:
+        first, second = found[size]
+        half, wide = first.shape[1], len(second)
+        reach = math.sqrt(max(0.0, 2 - 2 * cosine)) * min(1.0, DEVIATIONS / math.sqrt(size)) + 1e-6
+        v = unit(rows_of(part.column(4)))
+        na, ba = region_bounds(v[:, :half], first)
+        nb, bb = region_bounds(v[:, half:], second)
+        who, cell, query = [], [], []
+        for k in range(len(v)):
+            own = int(na[k]) * wide + int(nb[k])
+            who.append(k)
+            cell.append(own)
+            query.append(False)
+            for i, j in multi_sequence(ba[k], bb[k], reach):
+                at = i * wide + j
+                if at > own:
                     who.append(k)
-                    cell.append(own)
-                    query.append(False)
-                    for i, j in multi_sequence(ba[k], bb[k], reach):
-                        at = i * wide + j
-                        if at > own:
-                            who.append(k)
-                            cell.append(at)
-                            query.append(True)
-                t = part.take(pa.array(who, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(query), *t.columns], names=["cell", "query", *t.schema.names])
+                    cell.append(at)
+                    query.append(True)
+        t = part.take(pa.array(who, pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(query), *t.columns], names=["cell", "query", *t.schema.names])
 
-    return classes.select("label", "class_id", "copies", "vector").mapInArrow(run, f"cell long, query boolean, label {dict(classes.dtypes)['label']}, class_id long, copies long, vector array<float>")
+    return classes.select("label", "size", "class_id", "copies", "vector").mapInArrow(run, f"cell long, query boolean, label {dict(classes.dtypes)['label']}, size int, class_id long, copies long, vector array<float>")
 
 
 def meet(dealt: DataFrame, cosine: float) -> DataFrame:
@@ -167,44 +194,36 @@ def meet(dealt: DataFrame, cosine: float) -> DataFrame:
 def near_vectors(df: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """key, n_links, component_id, kept for every row.
 
-    Rows are compared only where labels are equal and not null. Vectors that are null, empty, zero,
-    of another length than the most frequent one, or hold null or non-finite numbers link with
-    nothing, and so do rows without a key (component_id null, kept). Equal vectors are linked to
-    each other. Pairs below the cosine are never linked; above it, recall is that of the walk,
+    Rows are compared only where labels are equal and not null, and lengths are equal: each length
+    present has its own codebooks. Vectors that are null, empty or zero, or hold null or non-finite
+    numbers link with nothing, and so do rows without a key (component_id null, kept). Equal vectors
+    are linked to each other. Pairs below the cosine are never linked; above it, recall is that of the walk,
     measured by the tests. An empty table gives no rows.
     """
     x = df.select(F.col(key).alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"), F.col(label).alias("label"))
     x = x.withColumn("ok", usable(F.col("vector"), F.col("label")) & F.col("vec_id").isNotNull())
-    size = x.where("ok").agg(F.mode(F.size("vector"), deterministic=True)).first()[0] or 0
-    x = x.withColumn("ok", F.col("ok") & (F.size("vector") == size))
     # two hashes of 64 bits name the class of equal vectors
     x = x.withColumn("h1", F.xxhash64("label", "vector")).withColumn("h2", F.xxhash64(F.lit("second"), "vector", "label"))
     classes = x.where("ok").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
-    classes = materialize(classes, "vectors")
-    told = classes.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
-    if told[0]:
-        k = max(1, min(1024, math.ceil(math.sqrt(told[0] / max(1, told[1]) / CELL))))
-        # a bounded sample, the same each time: the smallest hashes
+    classes = materialize(classes.withColumn("size", F.size("vector")), "vectors")
+    if not classes.isEmpty():
+        told = classes.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels")).where(F.col("n") > CELL * F.col("labels")).collect()
+        kinds = {size: min(1024, math.ceil(math.sqrt(n / labels / CELL))) for size, n, labels in told}
+        # a bounded sample, the same each time: the smallest hashes; each length has its share
         drawn = classes.orderBy(F.xxhash64("class_id"), "class_id", "h1").limit(SAMPLE).select("vector").toArrow().column(0).combine_chunks()
-        sample = unit(rows_of(drawn))
-        half = max(1, size // 2)
-        first, second = codebook(sample[:, :half], k), codebook(sample[:, half:] if size > 1 else np.zeros((len(sample), 1)), k)
-        if size == 1:
-            second = np.zeros((1, 0))
-        reach = math.sqrt(max(0.0, 2 - 2 * cosine)) * min(1.0, DEVIATIONS / math.sqrt(size)) + 1e-6
-        placed = materialize(place(classes, first, second, reach), "cells")
-        counts = placed.groupBy("label", "cell").agg(F.count_if(~F.col("query")).alias("m"), F.count_if(F.col("query")).alias("q"))
+        placed = materialize(place(classes, books(drawn, kinds), cosine), "cells")
+        counts = placed.groupBy("label", "size", "cell").agg(F.count_if(~F.col("query")).alias("m"), F.count_if(F.col("query")).alias("q"))
         # a crowded cell is cut: blocks of members each meet blocks of queries, its own members among them
-        counts = counts.where("m > 0").select("label", "cell", F.ceil(F.col("m") / BLOCK).alias("mb"), F.ceil((F.col("q") + F.when(F.col("m") > BLOCK, F.col("m")).otherwise(0)) / BLOCK).alias("qb"))
-        near = placed.join(small(counts), ["label", "cell"])
+        counts = counts.where("m > 0").select("label", "size", "cell", F.ceil(F.col("m") / BLOCK).alias("mb"), F.ceil((F.col("q") + F.when(F.col("m") > BLOCK, F.col("m")).otherwise(0)) / BLOCK).alias("qb"))
+        near = placed.join(small(counts), ["label", "size", "cell"])
         slot = F.xxhash64("class_id")
         mine = near.where("NOT query").withColumn("i", F.pmod(slot, "mb"))
         # members: one copy for each block of queries; block 0 also compares the members with each other
-        lives = mine.withColumn("j", F.explode(F.expr("sequence(0L, greatest(qb, 1L) - 1)"))).select("label", "cell", "i", "j", F.lit(False).alias("query"), (F.col("j") == 0).alias("inside"), "class_id", "copies", "vector")
+        lives = mine.withColumn("j", F.explode(F.expr("sequence(0L, greatest(qb, 1L) - 1)"))).select("label", "size", "cell", "i", "j", F.lit(False).alias("query"), (F.col("j") == 0).alias("inside"), "class_id", "copies", "vector")
         ask = near.where("query").withColumn("i", F.explode(F.expr("sequence(0L, mb - 1)")))
         own = mine.where("mb > 1").withColumn("other", F.explode(F.expr("filter(sequence(0L, mb - 1), z -> z > i)"))).drop("i").withColumnRenamed("other", "i")
-        asks = ask.unionByName(own).withColumn("j", F.pmod(F.xxhash64("class_id", F.lit(3)), F.greatest("qb", F.lit(1)))).select("label", "cell", "i", "j", F.lit(True).alias("query"), F.lit(False).alias("inside"), "class_id", "copies", "vector")
-        dealt = lives.unionByName(asks).withColumn("task", F.xxhash64("label", "cell", "i", "j")).repartition("task").sortWithinPartitions("task", "query")
+        asks = ask.unionByName(own).withColumn("j", F.pmod(F.xxhash64("class_id", F.lit(3)), F.greatest("qb", F.lit(1)))).select("label", "size", "cell", "i", "j", F.lit(True).alias("query"), F.lit(False).alias("inside"), "class_id", "copies", "vector")
+        dealt = lives.unionByName(asks).withColumn("task", F.xxhash64("label", "size", "cell", "i", "j")).repartition("task").sortWithinPartitions("task", "query")
         met = materialize(meet(dealt.select("task", "query", "inside", "class_id", "copies", "vector"), cosine), "links")
         linked = components(met.where("b IS NOT NULL"))
         sums = met.where("b IS NULL").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("n"))

@@ -352,6 +352,23 @@ def test_vectors_in_blocks(spark, monkeypatch):
     assert sum(got.values()) >= 0.98 * sum(count.values()) and all(got[k] <= count[k] for k in got)
 
 
+def test_vectors_of_two_lengths(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL", 4)
+    r = np.random.default_rng(8)
+    rows, links = [], Counter()
+    for size, n in ((8, 40), (5, 12), (1, 3), (3, 2)):
+        for _ in range(n):
+            base, label = r.normal(size=size), int(r.integers(2))
+            rows += [(len(rows) + k, [float(x) for x in (base + 0.05 * r.normal(size=size)).astype(np.float32)], label) for k in range(4)]
+    for i, v, p in rows:
+        for j, w, q in rows:
+            if i != j and p == q and len(v) == len(w) and np.dot(v, w) / np.sqrt(np.dot(v, v) * np.dot(w, w)) >= 0.98:
+                links[i] += 1
+    assert all(sum(links[i] for i, v, _ in rows if len(v) == size) > 0 for size in (8, 5, 1, 3))
+    got = rows_of(vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)))
+    assert {x["vec_id"]: x["n_links"] for x in got} == {i: links[i] for i, _, _ in rows}
+
+
 # ---- near-duplicates
 
 
