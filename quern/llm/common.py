@@ -126,27 +126,42 @@ def input_order(df: DataFrame, out: str) -> DataFrame:
     return spot.join(small(files), F.col("_file") == F.col("_name")).withColumn(out, F.expr("shiftleft(_nth, 33) + _at")).select(*df.columns, out)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, how: str = "inner", least: int = 256) -> DataFrame:
+    """left joined with right, which has one row a key and in n how many rows of left have that key.
+
+    No task gets all rows of a key that many have: keys of more than a thousandth of left's `total`
+    rows, of which there can't be 1,000, are broadcast; only the others are shuffled. n is dropped.
+    """
+    many = F.col(n) > max(least, total // 1000)
+    top = F.broadcast(right.where(many).drop(n))
+    rest = left.join(F.broadcast(right.where(many).select(*keys)), keys, "left_anti")
+    return left.join(top, keys).unionByName(rest.join(right.where(~many).drop(n), keys, how))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each connected component, for the nodes of edges (a, b).
 
     Alternates stars to larger and to smaller neighbours; each round is written to the shared
-    folder. Only minima are gathered by key, so a node of many edges is summed before the shuffle.
+    folder. Rounds end when the edges no longer change; each moves edges to smaller nodes, so they do.
+    Minima are summed before the shuffle, and a node of very many edges is told to them by broadcast.
     """
+
+    def lowest(x: DataFrame) -> DataFrame:
+        return x.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
-    for _ in range(most_rounds):
+    mark, n = None, e.count()
+    while n:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = lowest(both).withColumn("m", F.least("u", "m"))
+        large = spread_join(both, low, ["u"], "n", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = lowest(large)
+        hung = spread_join(large, low, ["u"], "n", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        state = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(state) == mark:
+        state = tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+        if state == mark:
             break
-        mark = tuple(state)
-    else:
-        raise RuntimeError("components did not settle")
+        mark, n = state, state[0]
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -155,7 +155,7 @@ def profile(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
     return df.select(key, text_id(text).alias("text_id"), raw(text).alias("text")).mapInArrow(run, schema)
 
 
-def groups(batches, key: str, most: int) -> Iterator[tuple[object, bool, pa.Table]]:
+def groups(batches, key: str, most: int = 1 << 62) -> Iterator[tuple[object, bool, pa.Table]]:
     """Rows of one key after another, from input sorted by it: (key, whether it goes on from the
     rows before, rows); a key of many rows comes in parts of at most `most`."""
     held: list[pa.RecordBatch] = []

@@ -21,13 +21,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import components, materialize, small
+from quern.llm.common import components, materialize, spread_join
 from quern.llm.neardup import groups, walk
 from quern.sources.tables import table
 
 COSINE = 0.98
-#: Vectors that codebooks are fitted on, at most; every vector is indexed.
+#: Vectors, and bytes of them, that codebooks are fitted on, at most; every vector is indexed.
 SAMPLE = 8192
+SAMPLE_BYTES = 64 << 20
+#: Lengths that get codebooks: the most frequent ones. Vectors of others are all compared, in blocks.
+LENGTHS = 256
 #: Vectors of a label that an ordinary cell holds, about.
 CELL = 64
 #: Members or queries of a cell that one task holds.
@@ -37,6 +40,10 @@ BLOCK = 1024
 DEVIATIONS = 4.0
 
 
+#: What tells of a class in tasks.
+CLASS = ["label", "size", "node", "copies", "vector"]
+
+
 def usable(vector: Column, label: Column) -> Column:
     """Has a label, is not null or empty, holds finite numbers only, and not only zeros."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -112,8 +119,8 @@ def books(sample: pa.ListArray, kinds: dict[int, int]) -> dict[int, tuple[np.nda
     return out
 
 
-def place(classes: DataFrame, found: dict[int, tuple[np.ndarray, np.ndarray]], cosine: float) -> DataFrame:
-    """cell, query (false: the vector lives here), label, size, class_id, copies, vector. A query goes to
+def place(classes: DataFrame, found: dict[int, tuple[np.ndarray, np.ndarray]], cosine: float, deviations: float | None) -> DataFrame:
+    """cell, query (false: the vector lives here), label, size, node, copies, vector. A query goes to
     cells after its own only: each two cells meet once. A length without codebooks is one cell."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -131,7 +138,7 @@ def place(classes: DataFrame, found: dict[int, tuple[np.ndarray, np.ndarray]], c
     def cells(part: pa.RecordBatch, size: int) -> pa.RecordBatch:
         first, second = found[size]
         half, wide = first.shape[1], len(second)
-        reach = math.sqrt(max(0.0, 2 - 2 * cosine)) * min(1.0, DEVIATIONS / math.sqrt(size)) + 1e-6
+        reach = math.sqrt(max(0.0, 2 - 2 * cosine)) * (1.0 if deviations is None else min(1.0, deviations / math.sqrt(size))) + 1e-6
         v = unit(rows_of(part.column(4)))
         na, ba = region_bounds(v[:, :half], first)
         nb, bb = region_bounds(v[:, half:], second)
@@ -150,7 +157,8 @@ def place(classes: DataFrame, found: dict[int, tuple[np.ndarray, np.ndarray]], c
         t = part.take(pa.array(who, pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(query), *t.columns], names=["cell", "query", *t.schema.names])
 
-    return classes.select("label", "size", "class_id", "copies", "vector").mapInArrow(run, f"cell long, query boolean, label {dict(classes.dtypes)['label']}, size int, class_id long, copies long, vector array<float>")
+    kinds = dict(classes.dtypes)
+    return classes.select(*CLASS).mapInArrow(run, "cell long, query boolean, " + ", ".join(f"{c} {kinds[c]}" for c in CLASS))
 
 
 def meet(dealt: DataFrame, cosine: float) -> DataFrame:
@@ -158,13 +166,14 @@ def meet(dealt: DataFrame, cosine: float) -> DataFrame:
     Rows (a, b, n): a spanning forest's edges, and sums of linked copies (b null)."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for _, _, t in groups(batches, "task", 4 * BLOCK):
+        for _, _, t in groups(batches, "task"):
             t = t.combine_chunks()
             q = t.column("query").to_numpy(zero_copy_only=False)
-            ids, copies = t.column("class_id").to_numpy(), t.column("copies").to_numpy()
+            copies = t.column("copies").to_numpy()
             inside = t.column("inside").to_numpy(zero_copy_only=False)
-            if (q.all() or not len(q)) or (len(q) == 1):
+            if q.all() or len(q) < 2:
                 continue
+            ids = t.column("node").chunk(0)
             v = unit(rows_of(t.column("vector").chunk(0)))
             m, s = np.flatnonzero(~q), np.flatnonzero(q)
             near = np.zeros((len(m), len(q)), dtype=bool)
@@ -183,56 +192,70 @@ def meet(dealt: DataFrame, cosine: float) -> DataFrame:
             spot = np.flatnonzero(hit)
             sub = full[np.ix_(spot, spot)]
             edges = walk(len(spot), lambda i, rest: sub[i][rest])  # noqa: B023
-            a = [*ids[spot].tolist(), *(int(ids[spot[i]]) for i, _ in edges)]
-            b = [*[None] * len(spot), *(int(ids[spot[j]]) for _, j in edges)]
+            a = [*spot.tolist(), *(int(spot[i]) for i, _ in edges)]
+            b = [*[None] * len(spot), *(int(spot[j]) for _, j in edges)]
             n = [*links[spot].tolist(), *[0] * len(edges)]
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64())), "n": pa.array(n, pa.int64())})
 
-    return dealt.mapInArrow(run, "a long, b long, n long")
+    node = dict(dealt.dtypes)["node"]
+    return dealt.mapInArrow(run, f"a {node}, b {node}, n long")
 
 
-def near_vectors(df: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def near_vectors(df: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector: str = "embedding", label: str = "label", deviations: float | None = DEVIATIONS) -> DataFrame:
     """key, n_links, component_id, kept for every row.
 
     Rows are compared only where labels are equal and not null, and lengths are equal: each length
-    present has its own codebooks. Vectors that are null, empty or zero, or hold null or non-finite
-    numbers link with nothing, and so do rows without a key (component_id null, kept). Equal vectors
-    are linked to each other. Pairs below the cosine are never linked; above it, recall is that of the walk,
-    measured by the tests. An empty table gives no rows.
+    present has its own codebooks. Vectors keep their precision; cosines are of doubles. Vectors that
+    are null, empty or zero, or hold null or non-finite numbers link with nothing, and so do rows
+    without a key (component_id null, kept). Equal vectors are linked to each other. Rows that repeat
+    a key are vectors of their own, each with its own links. Pairs below the cosine are never linked;
+    above it, recall is that of the walk. deviations: how far the walk reaches (see DEVIATIONS); None
+    visits every cell that can hold a link, and finds all. Other columns of df aren't read. An empty
+    table gives no rows.
     """
-    x = df.select(F.col(key).alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"), F.col(label).alias("label"))
+    kind = dict(df.dtypes)[vector]
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    x = df.select(F.col(key).alias("vec_id"), F.col(vector).cast(kind).alias("vector"), F.col(label).alias("label"))
     x = x.withColumn("ok", usable(F.col("vector"), F.col("label")) & F.col("vec_id").isNotNull())
     # two hashes of 64 bits name the class of equal vectors
     x = x.withColumn("h1", F.xxhash64("label", "vector")).withColumn("h2", F.xxhash64(F.lit("second"), "vector", "label"))
-    classes = x.where("ok").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
-    classes = materialize(classes.withColumn("size", F.size("vector")), "vectors")
-    if not classes.isEmpty():
-        told = classes.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels")).where(F.col("n") > CELL * F.col("labels")).collect()
-        kinds = {size: min(1024, math.ceil(math.sqrt(n / labels / CELL))) for size, n, labels in told}
+    classes = x.where("ok").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
+    # a class is told by its smallest key and a number: keys may repeat, nodes don't
+    node = F.struct("id", F.monotonically_increasing_id().alias("n")).alias("node")
+    classes = materialize(classes.select("label", "h1", "h2", "copies", "vector", F.size("vector").alias("size"), node), "vectors")
+    rows = classes.agg(F.sum("copies")).first()[0] or 0
+    if rows:
+        by = classes.groupBy("size", "label").agg(F.count(F.lit(1)).alias("n"))
+        # vectors of the label that a vector finds itself in, on average
+        told = by.groupBy("size").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("mean"))
+        told = told.where(F.col("mean") > CELL).orderBy(F.desc("n"), "size").limit(LENGTHS).collect()
+        kinds = {size: min(1024, math.ceil(math.sqrt(mean / CELL))) for size, _, mean in told}
         # a bounded sample, the same each time: the smallest hashes; each length has its share
-        drawn = classes.orderBy(F.xxhash64("class_id"), "class_id", "h1").limit(SAMPLE).select("vector").toArrow().column(0).combine_chunks()
-        placed = materialize(place(classes, books(drawn, kinds), cosine), "cells")
-        counts = placed.groupBy("label", "size", "cell").agg(F.count_if(~F.col("query")).alias("m"), F.count_if(F.col("query")).alias("q"))
+        most = min(SAMPLE, max(256, SAMPLE_BYTES // (8 * max(kinds, default=1))))
+        drawn = classes.orderBy(F.xxhash64("h1"), "h1", "h2").limit(most).select("vector").toArrow().column(0).combine_chunks()
+        placed = materialize(place(classes, books(drawn, kinds), cosine, deviations), "cells")
+        cell = ["label", "size", "cell"]
+        counts = placed.groupBy(*cell).agg(F.count_if(~F.col("query")).alias("m"), F.count_if(F.col("query")).alias("q")).where("m > 0")
         # a crowded cell is cut: blocks of members each meet blocks of queries, its own members among them
-        counts = counts.where("m > 0").select("label", "size", "cell", F.ceil(F.col("m") / BLOCK).alias("mb"), F.ceil((F.col("q") + F.when(F.col("m") > BLOCK, F.col("m")).otherwise(0)) / BLOCK).alias("qb"))
-        near = placed.join(small(counts), ["label", "size", "cell"])
-        slot = F.xxhash64("class_id")
-        mine = near.where("NOT query").withColumn("i", F.pmod(slot, "mb"))
+        crowd = F.col("q") + F.when(F.col("m") > BLOCK, F.col("m")).otherwise(0)
+        counts = counts.select(*cell, F.ceil(F.col("m") / BLOCK).alias("mb"), F.ceil(crowd / BLOCK).alias("qb"), (F.col("m") + F.col("q")).alias("in_cell"))
+        near = spread_join(placed, counts, cell, "in_cell", placed.count())
+        mine = near.where("NOT query").withColumn("i", F.pmod(F.xxhash64("node"), "mb"))
         # members: one copy for each block of queries; block 0 also compares the members with each other
-        lives = mine.withColumn("j", F.explode(F.expr("sequence(0L, greatest(qb, 1L) - 1)"))).select("label", "size", "cell", "i", "j", F.lit(False).alias("query"), (F.col("j") == 0).alias("inside"), "class_id", "copies", "vector")
+        lives = mine.withColumn("j", F.explode(F.expr("sequence(0L, greatest(qb, 1L) - 1)"))).select(*cell, "i", "j", F.lit(False).alias("query"), (F.col("j") == 0).alias("inside"), "node", "copies", "vector")
         ask = near.where("query").withColumn("i", F.explode(F.expr("sequence(0L, mb - 1)")))
         own = mine.where("mb > 1").withColumn("other", F.explode(F.expr("filter(sequence(0L, mb - 1), z -> z > i)"))).drop("i").withColumnRenamed("other", "i")
-        asks = ask.unionByName(own).withColumn("j", F.pmod(F.xxhash64("class_id", F.lit(3)), F.greatest("qb", F.lit(1)))).select("label", "size", "cell", "i", "j", F.lit(True).alias("query"), F.lit(False).alias("inside"), "class_id", "copies", "vector")
-        dealt = lives.unionByName(asks).withColumn("task", F.xxhash64("label", "size", "cell", "i", "j")).repartition("task").sortWithinPartitions("task", "query")
-        met = materialize(meet(dealt.select("task", "query", "inside", "class_id", "copies", "vector"), cosine), "links")
+        asks = ask.unionByName(own).withColumn("j", F.pmod(F.xxhash64("node", F.lit(3)), F.greatest("qb", F.lit(1)))).select(*cell, "i", "j", F.lit(True).alias("query"), F.lit(False).alias("inside"), "node", "copies", "vector")
+        dealt = lives.unionByName(asks).withColumn("task", F.xxhash64(*cell, "i", "j")).repartition("task").sortWithinPartitions("task", "query")
+        met = materialize(meet(dealt.select("task", "query", "inside", "node", "copies", "vector"), cosine), "links")
         linked = components(met.where("b IS NOT NULL"))
-        sums = met.where("b IS NULL").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("n"))
-        found = classes.join(sums, "class_id", "left").join(linked, F.col("class_id") == F.col("node"), "left")
+        sums = met.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+        found = classes.join(sums, "node", "left").join(linked, "node", "left")
     else:
-        found = classes.withColumn("n", F.lit(0).cast("long")).withColumn("component", F.col("class_id"))
-    found = found.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "class_id").alias("c"))
-    rows = x.select("vec_id", F.when(F.col("ok"), F.col("h1")).alias("h1"), F.when(F.col("ok"), F.col("h2")).alias("h2"))
-    out = rows.join(found, ["h1", "h2"], "left").withColumn("component_id", F.coalesce("c", "vec_id"))
+        found = classes.withColumn("n", F.lit(0).cast("long")).withColumn("component", F.col("node"))
+    found = found.select("h1", "h2", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "node")["id"].alias("c"))
+    out = spread_join(x.select("vec_id", F.when(F.col("ok"), F.col("h1")).alias("h1"), F.when(F.col("ok"), F.col("h2")).alias("h2")), found, ["h1", "h2"], "copies", rows, "left")
+    out = out.withColumn("component_id", F.coalesce("c", "vec_id"))
     return out.select(
         F.col("vec_id").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept")
     )

@@ -306,17 +306,29 @@ def test_order_of_stored_rows(spark, tmp_path):
 
 
 def links_by_force(rows, cosine=0.98):
-    ok = {}
+    """Pairs of places in rows (id, vector, label)."""
+    ok = []
     for k, (i, v, lab) in enumerate(rows):
-        x = np.array([np.nan if c is None else c for c in v or []], dtype=np.float32).astype(float)
-        if i is not None and lab is not None and len(x) == 8 and np.isfinite(x).all() and x.any():
-            ok[k] = (x / np.abs(x).max(), lab)
-    links = []
-    for a, (x, p) in ok.items():
-        for b, (y, q) in ok.items():
-            if a < b and p == q and x @ y / np.sqrt((x @ x) * (y @ y)) >= cosine:
-                links.append((a, b))
-    return links
+        x = np.array([np.nan if c is None else c for c in v or []], dtype=float)
+        if i is not None and lab is not None and len(x) and np.isfinite(x).all() and x.any():
+            x = x / np.abs(x).max()
+            ok.append((k, x / np.sqrt(x @ x), lab))
+    return [(a, b) for a, x, p in ok for b, y, q in ok if a < b and p == q and len(x) == len(y) and x @ y >= cosine]
+
+
+def vectors_by_force(rows):
+    """(id, n_links, component_id, kept) of every row."""
+    links = links_by_force(rows)
+    count = Counter(x for pair in links for x in pair)
+    comp = closure(range(len(rows)), links)
+    low = {}
+    for k, c in comp.items():
+        if rows[k][0] is not None:
+            low[c] = min(low.get(c, rows[k][0]), rows[k][0])
+    return Counter((rows[k][0], count[k], low.get(comp[k]), rows[k][0] is None or rows[k][0] == low[comp[k]]) for k in range(len(rows)))
+
+
+ODD_VECTORS = [(602, [1.0, 2.0], None), (603, None, 1), (604, [0.0] * 8, 1), (605, [float("nan")] + [0.5] * 7, 1), (606, [None] + [0.5] * 7, 1), (607, [float("inf")] + [0.5] * 7, 1), (609, [], 1), (None, [1.0] + [0.5] * 7, 1)]
 
 
 def test_vectors(spark):
@@ -326,30 +338,63 @@ def test_vectors(spark):
         base = r.normal(size=8)
         rows += [(len(rows) + k, [float(x) for x in (base + 0.06 * r.normal(size=8)).astype(np.float32)], c % 3) for k in range(12)]
     same = [1.0] + [0.5] * 7
-    rows += [(500 + k, same, 1) for k in range(40)] + [(600, [2 * x for x in same], 1), (601, same, 2), (602, same, None), (603, None, 1), (604, [0.0] * 8, 1), (605, [float("nan")] + same[1:], 1), (606, [None] + same[1:], 1), (607, [float("inf")] + same[1:], 1), (608, [1.0], 1), (609, [], 1), (None, same, 1)]
+    rows += [(500 + k, same, 1) for k in range(40)] + [(600, [2 * x for x in same], 1), (601, same, 2), (608, [1.0], 1), *ODD_VECTORS]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
-    links = links_by_force(rows)
-    count = Counter(x for pair in links for x in pair)
-    got = {r["vec_id"]: r for r in rows_of(vectors.near_vectors(df)) if r["vec_id"] is not None}
-    assert len(got) == len(rows) - 1
-    comp = closure(range(len(rows)), links)
-    found = sum(r["n_links"] for r in got.values())
-    assert found >= 0.98 * sum(count.values()) and all(got[i]["n_links"] <= count[k] for k, (i, _, _) in enumerate(rows) if i is not None)
-    wrong = sum(got[i]["component_id"] != rows[comp[k]][0] for k, (i, _, _) in enumerate(rows) if i is not None)
-    assert wrong <= 0.02 * len(rows)
-    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (601, 602, 603, 604, 605, 606, 607, 608, 609))
+    # columns that have the names of others inside
+    df = df.selectExpr("*", "1 as node", "'x' as vector", "2 as size", "3 as n", "4 as component_id", "5 as h1")
+    got = Counter((x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in rows_of(vectors.near_vectors(df)))
+    assert got == vectors_by_force(rows)
     assert vectors.near_vectors(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_vectors_are_double(spark):
+    least = 0.98
+    rows = [(1, [1e300, 1e300, 0.0], 0), (2, [1e300, 1e300, 0.0], 0), (3, [2e-300, 2e-300, 0.0], 0), *ODD_VECTORS]
+    for k, step in enumerate((1e-12, -1e-12)):  # as floats, both would lie on one side
+        angle = np.arccos(least) + step
+        rows += [(10 + 2 * k, [1.0, 0.0], 5 + k), (11 + 2 * k, [float(np.cos(angle)), float(np.sin(angle))], 5 + k)]
+    got = Counter((x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in rows_of(vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))))
+    assert got == vectors_by_force(rows)
+    assert sorted(k for k, n, *_ in got if n) == [1, 2, 3, 12, 13]
+
+
+@pytest.mark.parametrize("block", [1024, 5])
+def test_vectors_that_share_an_id(spark, monkeypatch, block):
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    r = np.random.default_rng(3)
+    base = r.normal(size=8)
+    rows = [(7 if k < 60 else k // 2, [float(x) for x in base + 0.04 * r.normal(size=8)], 0) for k in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    got = rows_of(vectors.near_vectors(df, deviations=None))
+    assert Counter((x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in got) == vectors_by_force(rows)
+
+
+def test_walk_finds_all_or_nearly(spark):
+    """64 dimensions, where the usual reach is half of the exact one."""
+    r = np.random.default_rng(9)
+    rows = []
+    for c in range(400):
+        base = r.normal(size=64)
+        for _ in range(6):
+            rows.append((len(rows), [float(x) for x in base + r.uniform(0.02, 0.17) * r.normal(size=64)], c % 2))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    want = vectors_by_force(rows)
+    exact = rows_of(vectors.near_vectors(df, deviations=None))
+    assert Counter((x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in exact) == want
+    usual = rows_of(vectors.near_vectors(df))
+    links = sum(n * k for (_, n, *_), k in want.items())
+    found = sum(x["n_links"] for x in usual)
+    assert links > 2000 and 0.99 * links <= found <= links
+
+
 def test_vectors_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 5)
     r = np.random.default_rng(6)
     base = r.normal(size=8)
     rows = [(k, [float(x) for x in (base + 0.1 * r.normal(size=8)).astype(np.float32)], 0) for k in range(70)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    count = Counter(x for pair in links_by_force(rows) for x in pair)
-    got = {x["vec_id"]: x["n_links"] for x in rows_of(vectors.near_vectors(df))}
-    assert sum(got.values()) >= 0.98 * sum(count.values()) and all(got[k] <= count[k] for k in got)
+    got = Counter((x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in rows_of(vectors.near_vectors(df)))
+    assert got == vectors_by_force(rows)
 
 
 def test_vectors_of_two_lengths(spark, monkeypatch):
