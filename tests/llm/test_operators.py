@@ -197,7 +197,7 @@ def strip_by_force(table, window):
     return Counter(out)
 
 
-@pytest.mark.parametrize("group", [20_000, 1])
+@pytest.mark.parametrize("group", [4096, 1])
 def test_repeats_odd(odd, none, table, group):
     got = substrings.remove_repeats(odd, group=group)
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows_of(got)) == strip_by_force(table, 50)
@@ -209,9 +209,25 @@ def test_repeats_random(spark):
     parts = [[f"p{i}_{j}" for j in range(int(r.integers(3, 30)))] for i in range(12)]
     data = [(i, " ".join(x for k in r.integers(0, 12, 12) for x in parts[k])) for i in range(60)]
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
-    for group in (20_000, 2):
+    for group in (4096, 12, 1):
         got = rows_of(substrings.remove_repeats(df, window=20, group=group))
         assert Counter((x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got) == strip_by_force([{"doc_id": i, "text": t} for i, t in data], 20)
+        assert all(sum(z["n"] for z in x["spans"]) == x["n_removed"] for x in got)
+
+
+def test_suffix_tree():
+    r = np.random.default_rng(3)
+    texts = [[b"%d" % x for x in r.integers(0, 3, n)] for n in (40, 7, 1, 0, 23, 40)]
+    texts.append(texts[0][5:30])
+    text, place, shared = substrings.suffix_tree(texts)
+    leaves = [texts[t][p:] for t, p in zip(text.tolist(), place.tolist(), strict=True)]
+    assert len(leaves) == sum(map(len, texts)) == len(set(zip(text.tolist(), place.tolist(), strict=True)))
+    same = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    assert shared[0] == 0 and [same(a, b) for a, b in zip(leaves, leaves[1:], strict=False)] == shared[1:].tolist()
+    # leaves that share words stand together, whatever stands between
+    for a in range(0, len(leaves), 7):
+        for b in range(a + 1, len(leaves)):
+            assert same(leaves[a], leaves[b]) == shared[a + 1 : b + 1].min()
 
 
 # ---- packing
