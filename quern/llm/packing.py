@@ -1,9 +1,10 @@
 """Best-fit packing of documents into sequences by the sum of squares.
 
 Only lengths matter for a packing, and there are at most `capacity` of them: the corpus is counted
-by length, the counts are packed, and each piece takes its place by its rank among the pieces of
-its length: by a hash, or by its place in the input where that is to be kept. Counts beyond what one pass packs are divided: a pass packs count // m pieces a length
-and repeats its bins m times, the next one what is left with a smaller m. No piece is left out.
+by length, the counts are packed, longest first, and each piece takes its place by its rank among the
+pieces of its length: by a hash, or by its place in the input where that is to be kept. Pieces of a
+length are placed some at a time, a fixed share of them by each decision, so that a corpus of any size
+takes as many decisions as its lengths do. Bins that hold the same are held as one with a number.
 
 Where the order is kept, bins come in a random order, and each takes the first pieces of its lengths
 that are left: early bins hold early pieces of every length. Sequences are then numbered by their
@@ -26,9 +27,10 @@ from quern.llm.common import documents, input_order, materialize, rank_in_group,
 
 CAPACITY = 4096
 END = 1
-#: Pieces that one pass packs at most, about; the work on the driver stays below a few of these.
-PER_PASS = 1 << 19
-STEP = 16
+#: Decisions that the pieces of one length take, about; with them the work on the driver is bounded.
+BATCHES = 128
+#: Pieces of a length that are placed together by a task.
+PART = 4096
 SEED = 31
 #: Marks that are a token of their own at the end of a word.
 TAIL = ".,;:!?|%$*&#\"()"
@@ -158,73 +160,86 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, k
     return df.select(key, text_id(text).alias("text_id"), *also, raw(text).alias("text")).mapInArrow(run, schema)
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Bins as lists of positions in `lengths`, which come longest first.
+def sum_of_squares(counts: dict[int, int], capacity: int, batches: int = BATCHES, opens: bool = False) -> list[tuple[int, list[int]]]:
+    """Kinds of sequences: how many alike there are, and the lengths in each, longest first.
 
     N(g) open bins have gap g. A piece of length s in a bin of gap g changes the sum of N(g)^2 by
-    2 * (N(g - s) - N(g)) + 2, or by 1 - 2 * N(g) where it fills the bin. A bin is opened where
-    none fits, as the fewest bins are asked for.
+    2 * (N(g - s) - N(g)) + 2, or by 1 - 2 * N(g) where it fills the bin; each goes where the sum
+    becomes smallest. Of each length, at most 1/batches of its pieces are placed by one decision (one
+    piece, where it has no more than `batches`). opens: whether a new bin, at a change of
+    2 * N(capacity - s) + 1, is weighed too, or opened only where no bin fits.
     """
     count = np.zeros(capacity + 1, dtype=np.int64)  # count[0] stays 0: full bins aren't open
-    waiting: list[list[int]] = [[] for _ in range(capacity + 1)]
-    bins: list[list[int]] = []
-    for at, s in enumerate(lengths.tolist()):
-        here = count[s:capacity]
-        change = count[: capacity - s] - here
-        if len(change):
-            change = np.where(here > 0, change, capacity * len(lengths) + 1)
-            if here[0]:
-                change[0] = -here[0] - 1  # fills the bin: ranks before a move of the same change
-            best = int(change.argmin())
-            if here[best]:
-                g = best + s
-                k = waiting[g].pop()
-                count[g] -= 1
-                bins[k].append(at)
-                if g > s:
-                    waiting[g - s].append(k)
-                    count[g - s] += 1
+    far = 4 * sum(counts.values()) + 4
+    # bins alike: [how many, last node]; a node is a length and the node before it
+    waiting: list[list[list[int]]] = [[] for _ in range(capacity + 1)]
+    before, length = [-1], [0]
+    full: list[list[int]] = []
+
+    def grown(node: int, s: int) -> int:
+        before.append(node)
+        length.append(s)
+        return len(before) - 1
+
+    for s in sorted(counts, reverse=True):
+        left, batch = counts[s], -(-counts[s] // batches)
+        while left:
+            here = count[s:capacity]
+            best = -1
+            if len(here):
+                change = np.where(here > 0, 2 * (count[: capacity - s] - here) + 2, far)
+                if here[0]:
+                    change[0] = 1 - 2 * here[0]
+                best = int(change.argmin())
+                if not here[best] or (opens and 2 * count[capacity - s] + 1 < change[best]):
+                    best = -1
+            if best < 0:
+                k = min(left, batch)
+                (waiting[capacity - s] if s < capacity else full).append([k, grown(0, s)])
+                count[capacity - s] += k if s < capacity else 0
+                left -= k
                 continue
-        bins.append([at])
-        if s < capacity:
-            waiting[capacity - s].append(len(bins) - 1)
-            count[capacity - s] += 1
-    return bins
-
-
-def plan(lengths: dict[int, int], capacity: int, per_pass: int = PER_PASS, spread: bool = False) -> tuple[list[tuple], list[tuple]]:
-    """places: (length, pass, nth, first sequence, copies, offset); passes: (length, pass, rank of its
-    first piece, copies). The nth piece of a length in a pass stands for `copies` ranks. spread: bins
-    come in a random order, and the pieces of each length go to them in turn."""
-    left = dict(lengths)
-    m = max(1, math.ceil(sum(left.values()) / per_pass))
-    places, passes, rank, sequences, k = [], [], dict.fromkeys(left, 0), 0, 0
-    while any(left.values()):
-        own = {s: n // m for s, n in left.items() if n >= m}
-        flat = np.array([s for s in sorted(own, reverse=True) for _ in range(own[s])], dtype=np.int64)
-        first = {}
+            g = best + s
+            k = min(left, batch, int(count[g]))
+            left -= k
+            count[g] -= k
+            count[g - s] += k if g > s else 0
+            to = waiting[g - s] if g > s else full
+            while k:
+                run = waiting[g][-1]
+                m = min(k, run[0])
+                to.append([m, grown(run[1], s)])
+                run[0] -= m
+                k -= m
+                if not run[0]:
+                    waiting[g].pop()
+    out = []
+    for runs in (full, *waiting):
+        for m, node in runs:
+            held = []
+            while node:
+                held.append(length[node])
+                node = before[node]
+            out.append((m, held[::-1]))
+    return out
+
+
+def plan(counts: dict[int, int], capacity: int, spread: bool = False, batches: int = BATCHES, opens: bool = False) -> dict[str, np.ndarray]:
+    """Where each piece goes: pieces `low` to `high` - 1 of a length, by rank, stand at `at` in the
+    sequences from `first` on. spread: sequences come in a random order."""
+    kinds = sum_of_squares(counts, capacity, batches, opens)
+    if spread:
+        kinds = [kinds[i] for i in np.random.default_rng(SEED).permutation(len(kinds))]
+    turn = dict.fromkeys(counts, 0)
+    rows, first = [], 0
+    for m, held in kinds:
         at = 0
-        for s in sorted(own, reverse=True):
-            first[s] = at
-            at += own[s]
-            passes.append((s, k, rank[s], m))
-            rank[s] += own[s] * m
-            left[s] -= own[s] * m
-        bins = sum_of_squares(flat, capacity)
-        if spread:
-            bins = [bins[i] for i in np.random.default_rng(SEED + k).permutation(len(bins))]
-        turn = dict.fromkeys(own, 0)
-        for b in bins:
-            offset = 0
-            for x in b:
-                s = int(flat[x])
-                places.append((s, k, turn[s] if spread else x - first[s], sequences, m, offset))
-                turn[s] += 1
-                offset += s
-            sequences += m
-        k += 1
-        m = max(1, m // STEP)
-    return places, passes
+        for s in held:
+            rows.append((s, turn[s], turn[s] + m, first, at))
+            turn[s] += m
+            at += s
+        first += m
+    return dict(zip(("length", "low", "high", "first", "at"), np.array(rows, dtype=np.int64).reshape(-1, 5).T, strict=True))
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", order: str | None = None) -> DataFrame:
@@ -233,22 +248,16 @@ def pack(found: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", order:
     spark = found.sparkSession
     # at most `capacity` rows come to the driver, whatever the corpus
     counted = {int(r[0]): int(r[1]) for r in found.groupBy("length").agg(F.count(F.lit(1))).collect()}
-    places, passes = plan(counted, capacity, spread=order is not None)
-    place = pa.table(list(map(pa.array, zip(*places, strict=True))) if places else [pa.array([], pa.int64())] * 6, names=["_length", "_pass", "_nth", "_first", "_copies", "_at"])
-    stretch = pa.table(list(map(pa.array, zip(*passes, strict=True))) if passes else [pa.array([], pa.int64())] * 4, names=["_size", "_of", "_from", "_m"])
-    place, stretch = spark.createDataFrame(place), spark.createDataFrame(stretch)
+    places = spark.createDataFrame(pa.table({f"_{k}": pa.array(v) for k, v in plan(counted, capacity, spread=order is not None).items()}))
     if order:
         ranked = rank_in_order(found, ["length"], order, ["piece"], "_rank")
     else:
         key_hash = F.xxhash64(F.col(key), "text_id", "piece")
         ranked = rank_in_group(found, ["length"], key_hash, [key, "text_id", "piece"], sum(counted.values()), "_rank")
-    # a length has one row a pass, a handful; the table has at most that times `capacity` rows
-    spans = stretch.groupBy("_size").agg(F.sort_array(F.collect_list(F.struct("_from", "_of", "_m"))).alias("_spans"))
-    at = ranked.join(small(spans), F.col("length") == F.col("_size"))
-    at = at.withColumn("_span", F.expr("element_at(filter(_spans, s -> s._from <= _rank), -1)"))
-    at = at.withColumn("_n", F.expr("(_rank - _span._from) div _span._m")).withColumn("_copy", F.expr("(_rank - _span._from) % _span._m")).withColumn("_p", F.col("_span._of"))
-    out = at.join(place, F.expr("length = _length AND _p = _pass AND _n = _nth"))
-    out = out.withColumn("sequence_id", F.expr("_first + _copy")).withColumn("offset", F.col("_at")).select(*found.columns, "sequence_id", "offset")
+    # ranks are cut in stretches, so that no task gets all pieces of a length
+    places = places.withColumn("_part", F.explode(F.expr(f"sequence(_low div {PART}, (_high - 1) div {PART})")))
+    at = ranked.withColumn("_of", F.expr(f"_rank div {PART}")).join(places, F.expr("length = _length AND _of = _part AND _rank >= _low AND _rank < _high"))
+    out = at.withColumn("sequence_id", F.expr("_first + _rank - _low")).withColumn("offset", F.col("_at")).select(*found.columns, "sequence_id", "offset")
     if not order:
         return out
     out = materialize(out, "packed")

@@ -265,24 +265,66 @@ def test_pack_odd(odd, none, table):
     assert packing.pack_documents(none).count() == 0
 
 
-@pytest.mark.parametrize("per_pass", [1 << 19, 50])
-def test_plan_places_all(per_pass):
+def sum_of_squares_by_force(lengths, capacity):
+    """Bins by the plain rule: each piece, longest first, where the squares of open bins per gap sum to
+    least; opened where none fits. Lists of lengths."""
+    bins = []
+    for s in sorted(lengths, reverse=True):
+        gaps = Counter(capacity - sum(b) for b in bins)
+        best = None
+        for g in sorted(gaps):
+            if g >= s and g > 0:
+                after = Counter(gaps)
+                after[g] -= 1
+                after[g - s] += 1
+                total = sum(n * n for x, n in after.items() if x > 0)
+                if best is None or total < best[0]:
+                    best = total, g
+        if best is None:
+            bins.append([s])
+        else:
+            next(b for b in bins if capacity - sum(b) == best[1]).append(s)
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sum_of_squares_is_the_rule(seed):
+    r = np.random.default_rng(seed)
+    lengths = [int(x) for x in np.minimum(40, r.geometric(0.07 + 0.02 * seed, 90))]
+    got = packing.sum_of_squares(Counter(lengths), 40)
+    gaps = lambda bins: Counter({g: n for g, n in bins.items() if g > 0})
+    by_force = sum_of_squares_by_force(lengths, 40)
+    assert sum(m for m, _ in got) == len(by_force)
+    assert gaps(Counter({g: 0 for g in range(41)}) + Counter(x for m, h in got for x in [40 - sum(h)] * m)) == gaps(Counter(40 - sum(b) for b in by_force))
+
+
+@pytest.mark.parametrize("batches", [1, 3, 128])
+@pytest.mark.parametrize("opens", [False, True])
+def test_plan_places_all(batches, opens):
     r = np.random.default_rng(4)
-    lengths = Counter(np.minimum(64, r.geometric(0.05, 3000)).tolist())
-    places, passes = packing.plan(lengths, 64, per_pass)
-    spans = {(s, k): (lo, m) for s, k, lo, m in passes}
+    counts = Counter(np.minimum(64, r.geometric(0.05, 3000)).tolist())
+    got = packing.plan(counts, 64, batches=batches, opens=opens)
     seen, room = Counter(), defaultdict(list)
-    for s, k, nth, first, m, at in places:
-        assert spans[s, k][1] == m
-        for c in range(m):
-            seen[s, spans[s, k][0] + nth * m + c] += 1
-            room[first + c].append((at, s))
-    assert seen == Counter((s, i) for s, n in lengths.items() for i in range(n))
+    for s, lo, hi, first, at in zip(*(got[c].tolist() for c in ("length", "low", "high", "first", "at")), strict=True):
+        for k in range(hi - lo):
+            seen[s, lo + k] += 1
+            room[first + k].append((at, s))
+    assert seen == Counter((s, i) for s, n in counts.items() for i in range(n))
     for x in room.values():
         x.sort()
-        assert all(a + s <= b for (a, s), (b, _) in zip(x, x[1:], strict=False)) and sum(s for _, s in x) <= 64
-    least = -(-sum(s * n for s, n in lengths.items()) // 64)
-    assert len(room) <= (least if per_pass > 3000 else 1.1 * least)
+        assert all(a + s == b for (a, s), (b, _) in zip(x, x[1:], strict=False)) and sum(s for _, s in x) <= 64
+    least = -(-sum(s * n for s, n in counts.items()) // 64)
+    assert len(room) <= (1.01 * least if batches == 128 and not opens else 1.2 * least)
+
+
+def test_batches_cost_nearly_nothing():
+    """The same lengths a hundred times over: a hundred times the sequences, within a thousandth."""
+    r = np.random.default_rng(5)
+    counts = Counter(np.minimum(512, r.geometric(0.01, 4000)).tolist())
+    for times in (1, 100, 10_000):
+        many = {s: times * n for s, n in counts.items()}
+        least = -(-sum(s * n for s, n in many.items()) // 512)
+        assert sum(m for m, _ in packing.sum_of_squares(many, 512)) <= 1.001 * least + 1
 
 
 def test_pack_keeps_the_mix(spark, tmp_path, monkeypatch):
