@@ -1,24 +1,24 @@
 """Sharding by a two-pass external shuffle, in DataFrame functions only.
 
-Pass one scatters rows by a seeded hash to buckets that fit in memory; pass two shuffles each
-bucket by Fisher-Yates. Buckets follow each other, and the line of rows is cut into shards whose
-counts differ by one at most.
+Pass one scatters whole rows by a seeded hash to buckets that fit in memory, by rows and by bytes; pass
+two shuffles each bucket by Fisher-Yates. Buckets follow each other, and the line of rows is cut into
+shards whose counts differ by one at most.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import documents, prefix_offsets
+from quern.llm.common import documents, materialize, prefix_offsets, small
 
-#: Inside-out Fisher-Yates over 0..n-1: element i goes to a drawn place j <= i, what stood there moves
+#: Inside-out Fisher-Yates over 0.._n-1: element i goes to a drawn place j <= i, what stood there moves
 #: to the end. Draws are hashes of seed, bucket and i, so that a task that runs again draws the same.
 FISHER_YATES = """
 aggregate(
-  sequence(0, size(_rows) - 1),
+  sequence(0, cast(_n as int) - 1),
   slice(array(cast(null as int)), 1, 0),
   (p, i) -> transform(
     array(cast(pmod(xxhash64({seed}, _bucket, i), i + 1) as int)),
@@ -27,48 +27,67 @@ aggregate(
 """
 
 
-def spread_key(seed: int, key: str, spread: list[str]) -> Column:
-    """Seeded hash of the key; rows without one are spread by their other columns."""
-    other = [F.col(c) for c in spread]
-    return F.when(F.col(key).isNotNull(), F.xxhash64(F.lit(seed), F.col(key))).otherwise(F.xxhash64(F.lit(seed), F.lit("none"), *other))
+def scatter(df: DataFrame, seed: int, key: str, text: str, bucket_rows: int, bucket_bytes: int) -> tuple[DataFrame, int]:
+    """df with _hash and _bucket, and its number of rows. Rows alike in key and text more often than a
+    bucket holds are told apart by their place in the input, so that no bucket grows with such a group."""
+    told = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(f"`{text}`")))).first()
+    rows, size = told[0], told[1] or 0
+    buckets = max(1, math.ceil(rows / bucket_rows), math.ceil(size / bucket_bytes))
+    x = df.withColumn("_hash", F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.coalesce(F.crc32(F.col(f"`{text}`").cast("binary")), F.lit(-1))))
+    # rows / bucket_rows of them at most; beyond a checked size the join is a shuffle of those few keys
+    many = x.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bucket_rows).select("_hash", F.lit(True).alias("_many"))
+    many = materialize(many, "alike")
+    place = F.col("_hash")
+    if not many.isEmpty():
+        # written once more: a row's place must be the same each time it is asked for
+        x = materialize(x.withColumn("_at", F.monotonically_increasing_id()), "placed").join(small(many), "_hash", "left")
+        place = F.when(F.col("_many"), F.xxhash64("_hash", "_at")).otherwise(place)
+    return x.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), place), F.lit(buckets))).select(*[F.col(f"`{c}`") for c in df.columns], "_hash", "_bucket"), rows
 
 
-def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 17, key: str = "doc_id", spread: list[str] | None = None, bucket_rows: int = 512) -> DataFrame:
-    """All rows and columns of df plus shard (int) and slot (long, gapless from 0 in each shard).
+def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 17, key: str = "doc_id", text: str = "text", bucket_rows: int = 1024, bucket_bytes: int = 16 << 20) -> DataFrame:
+    """All rows and columns of df plus shard (int) and slot (long, gapless from 0 in each shard), in files
+    that follow each other by shard and slot.
 
-    Columns must be of types that can be ordered. Rows of one key share a bucket; rows equal in all columns are
-    interchangeable. Rows without a key are spread by `spread`, columns that are cheap to read.
-    An empty table gives no rows. Columns named _rows, _bucket, _offset and the like are reserved.
+    Rows of null key or text, and empty texts, are rows like others. Which rows share a bucket hangs on
+    key and text alone; rows equal in both are interchangeable. Columns may have any type (rows are
+    moved, not collected); those named shard and slot are replaced, and names that start with _ reserved. An empty
+    table gives no rows. A bucket holds about bucket_rows rows and bucket_bytes of text, or one longer text.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    rows = df.count()
-    buckets = max(1, math.ceil(rows / bucket_rows))
-    spread = [c for c in (spread or []) if c in df.columns]
-    x = df.withColumn("_bucket", F.pmod(spread_key(seed, key, spread), F.lit(buckets)))
-    counts = x.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = prefix_offsets(counts, [], "_bucket", "_n", "_offset")
-    held = x.groupBy("_bucket").agg(F.sort_array(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("_rows"))
-    drawn = held.withColumn("_perm", F.expr(FISHER_YATES.format(seed=seed))).join(offsets, "_bucket")
-    out = drawn.select("_offset", F.posexplode(F.expr("transform(_perm, i -> _rows[i])")).alias("_at", "_row"))
-    place = F.col("_offset") + F.col("_at")
-    return (
-        out.select("_row.*", place.alias("_place"))
-        .withColumn("shard", F.expr(f"cast(((_place + 1) * {shards} - 1) div {max(rows, 1)} as int)"))
-        .withColumn("slot", F.expr(f"_place - (cast(shard as bigint) * {rows}) div {shards}"))
-        .drop("_place")
-    )
+    df = df.drop("shard", "slot")
+    x, rows = scatter(df, seed, key, text, bucket_rows, bucket_bytes)
+    counts = materialize(x.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")), "buckets")
+    offsets = prefix_offsets(counts, [], "_bucket", "_n", "_offset").join(counts, "_bucket")
+    # a bucket's draws need no rows, only their number; they travel to the bucket as a row before the others
+    drawn = offsets.select("_bucket", F.expr(FISHER_YATES.format(seed=seed)).alias("_perm"), "_offset")
+    # pass one: the only shuffle of whole rows; a task gets buckets that follow each other, and sorts them
+    near = x.unionByName(drawn, allowMissingColumns=True).repartitionByRange("_bucket")
+    first = Window.partitionBy("_bucket").orderBy(F.col("_perm").isNull(), "_hash")
+    told = [F.first(c).over(first.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in ("_perm", "_offset")]
+    near = near.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_perm").isNull().alias("_row"), *told, (F.row_number().over(first) - 1).alias("_i"))
+    # pass two: each row of a bucket to where it was drawn
+    out = near.where("_row").withColumn("_place", F.expr("_offset + array_position(_perm, cast(_i - 1 as int)) - 1")).drop("_perm")
+    out = out.withColumn("shard", F.expr(f"cast(((_place + 1) * {shards} - 1) div {max(rows, 1)} as int)"))
+    out = out.withColumn("slot", F.expr(f"_place - (cast(shard as bigint) * {rows}) div {shards}"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], "shard", "slot").sortWithinPartitions("shard", "slot")
 
 
 def write_shards(df: DataFrame, path: str, shards: int, **how) -> None:
     """Folders shard=N whose files, read in name order, hold the rows by slot."""
-    out = shuffle_into_shards(df, shards, **how)
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    shuffle_into_shards(df, shards, **how).write.partitionBy("shard").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir)
+    out = shuffle_into_shards(documents(spark, sf_dir), 8)
     text = F.coalesce("text", F.lit("")).cast("binary")
-    d = d.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "source", "n_chars")
-    out = shuffle_into_shards(d, 8, spread=["source", "n_chars"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
