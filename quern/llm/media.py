@@ -1,6 +1,6 @@
 """Media columns: texts as sound. The payload is stored as 8-bit mono WAV, read back by the wave
 module, and described by short-time Fourier transforms whose spectral peaks are paired into
-fingerprints, stored as time-coded arrays.
+fingerprints, stored as time-coded arrays. Media and arrays are columns of the result.
 """
 
 from __future__ import annotations
@@ -123,4 +123,5 @@ def to_media(df: DataFrame, text: str = "text", key: str = "doc_id", keep_media:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_media(documents(spark, sf_dir), keep_media=False)
+    """Digests, and the stored media and fingerprints that they are of."""
+    return to_media(documents(spark, sf_dir))

@@ -146,6 +146,38 @@ def test_media_parts_do_not_matter():
     assert all((p == q).all() for p, q in zip(a[:2], b[:2], strict=True)) and a[2] == b[2]
 
 
+def media_by_force(text):
+    """Digests and fingerprint of one text: transforms by sums, peaks and pairs by loops."""
+    data = (text or "").encode()
+    payload = data + bytes(-len(data) % 64 if data else 64)
+    wav = b"RIFF" + (36 + len(payload)).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + b"\x01\0\x01\0" + (8000).to_bytes(4, "little") * 2 + b"\x01\0\x08\0data" + len(payload).to_bytes(4, "little") + payload
+    x = [b - 128.0 for b in payload]
+    peaks = []
+    n = max(1, -(-max(0, len(x) - 256) // 128) + 1)
+    angle = 2j * np.pi / 256 * np.outer(np.arange(128), np.arange(256))
+    for t in range(n):
+        frame = np.array((x[t * 128 : t * 128 + 256] + [0.0] * 256)[:256]) * np.hanning(256)
+        size = np.abs((np.exp(-angle) * frame).sum(axis=1))
+        bands = [(a, b, max(range(a, b), key=lambda k: (size[k], -k))) for a, b in zip((1, 4, 8, 16, 32, 64), (4, 8, 16, 32, 64, 128), strict=True)]
+        mean = sum(size[k] for *_, k in bands) / 6
+        peaks += [(t, k) for *_, k in bands if size[k] >= mean and size[k] > 1e-6]
+    codes = sorted((t << 32) | (k << 20) | (q << 8) | (u - t) for i, (t, k) in enumerate(peaks) for u, q in peaks[i + 1 : i + 5] if u - t <= 16)
+    return {
+        "n_bytes": len(data), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]),
+        "media_bytes": len(wav), "media_sha256": hashlib.sha256(wav).hexdigest(), "media": wav, "fingerprint": codes,
+        "feature": f"{n}:{len(peaks)}:{len(codes)}:{zlib.crc32(b''.join(c.to_bytes(8, 'little') for c in codes)):08x}",
+    }
+
+
+def test_media_query_is_the_transform(spark, sf):
+    docs = {r["doc_id"]: r["text"] for r in rows_of(spark.read.parquet(f"{sf}/documents.parquet"))}
+    got = rows_of(media.query(spark, sf))
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    for r in got:
+        r["media"] = bytes(r["media"])
+        assert {c: r[c] for c in r if c != "doc_id"} == media_by_force(docs[r["doc_id"]]), r["doc_id"]
+
+
 def test_media_odd(odd, none, table):
     got = rows_of(media.to_media(odd))
     assert keys(got) == keys(table)
@@ -157,21 +189,88 @@ def test_media_odd(odd, none, table):
 # ---- sharding
 
 
+def same_rows(got, table):
+    plain = lambda r: tuple(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars", "text_id", "bits", "size", "label"))
+    return Counter(map(plain, got)) == Counter(map(plain, table))
+
+
+def hashes_of(spark, rows):
+    """Spark's hash of each row of SQL literals."""
+    return list(spark.sql("SELECT array(" + ", ".join(f"xxhash64({', '.join(r)})" for r in rows) + ")").first()[0]) if rows else []
+
+
+def shards_by_force(spark, rows, shards, seed, bucket_rows, bucket_bytes):
+    """The place of each row: seeded hash to a bucket, Fisher-Yates there. rows: (doc_id, text), all different."""
+    size = sum(len((t or "").encode()) for _, t in rows)
+    n = max(1, -(-len(rows) // bucket_rows), -(-size // bucket_bytes))
+    crc = [-1 if t is None else zlib.crc32(t.encode()) for _, t in rows]
+    h = hashes_of(spark, [(str(seed), "cast(null as bigint)" if i is None else f"{i}L", f"{c}L") for (i, _), c in zip(rows, crc, strict=True)])
+    held = defaultdict(list)
+    for x, to, (i, t) in zip(h, hashes_of(spark, [(str(seed), f"{x}L") for x in h]), rows, strict=True):
+        held[to % n].append((x, i, t))
+    line = []
+    for bucket in sorted(held):
+        own, placed = sorted(held[bucket]), []
+        for i, draw in enumerate(hashes_of(spark, [(str(seed), f"{bucket}L", str(k)) for k in range(len(own))])):
+            j = draw % (i + 1)
+            placed.append(own[i])
+            placed[i], placed[j] = placed[j], own[i]
+        line += placed
+    out = {}
+    for place, (_, i, t) in enumerate(line):
+        shard = ((place + 1) * shards - 1) // len(rows)
+        out[i, t] = shard, place - shard * len(rows) // shards
+    return out
+
+
 def test_shards(odd, none, table, spark):
-    got = rows_of(sharding.shuffle_into_shards(odd, 4, bucket_rows=4, spread=["n_chars"]))
-    assert keys(got) == keys(table)
-    assert Counter(r["text"] for r in got) == Counter(r["text"] for r in table)
-    by = defaultdict(list)
-    for r in got:
-        by[r["shard"]].append(r["slot"])
-    assert all(sorted(x) == list(range(len(x))) for x in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    for how in ({"bucket_rows": 4}, {"bucket_bytes": 500}, {"bucket_rows": 1}, {}):
+        got = rows_of(sharding.shuffle_into_shards(odd, 4, **how))
+        assert same_rows(got, table)
+        by = defaultdict(list)
+        for r in got:
+            by[r["shard"]].append(r["slot"])
+        assert all(sorted(x) == list(range(len(x))) for x in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert sharding.shuffle_into_shards(none, 4).count() == 0
-    many = spark.range(5000).withColumnRenamed("id", "doc_id")
-    a = {r.doc_id: (r.shard, r.slot) for r in sharding.shuffle_into_shards(many, 8).collect()}
-    b = {r.doc_id: (r.shard, r.slot) for r in sharding.shuffle_into_shards(many.repartition(7), 8).collect()}
-    assert a == b and len(set(a.values())) == 5000
-    line = [k for k, _ in sorted(a.items(), key=lambda x: x[1])]
-    assert abs(np.corrcoef(line, range(5000))[0, 1]) < 0.1
+    # any type of column, and a third of all rows alike
+    maps = spark.range(300).selectExpr("if(id < 100, 7, id) AS doc_id", "if(id < 100, 'x', repeat('y', 1 + cast(id % 9 as int))) AS text", "map('k', id) AS m")
+    got = rows_of(sharding.shuffle_into_shards(maps, 3, bucket_rows=8))
+    assert sorted(r["m"]["k"] for r in got) == list(range(300)) and Counter(r["shard"] for r in got) == {0: 100, 1: 100, 2: 100}
+
+
+def test_shards_are_the_shuffle(spark):
+    rows = [(i, "word " * (i % 40)) for i in range(150)] + [(150, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in ({"bucket_rows": 16, "bucket_bytes": 1 << 20}, {"bucket_rows": 1000, "bucket_bytes": 3000}):
+        want = shards_by_force(spark, rows, 4, 17, **how)
+        for parts in (1, 5):
+            got = rows_of(sharding.shuffle_into_shards(df.repartition(parts), 4, **how))
+            assert {(r["doc_id"], r["text"]): (r["shard"], r["slot"]) for r in got} == want
+    line = [i for i, _ in sorted(((r["doc_id"], (r["shard"], r["slot"])) for r in got), key=lambda x: x[1])]
+    assert abs(np.corrcoef(line, range(len(line)))[0, 1]) < 0.25
+
+
+def test_written_shards(spark, tmp_path):
+    sharding.write_shards(spark.range(500).selectExpr("id AS doc_id", "repeat('z', cast(id % 50 as int)) AS text"), f"{tmp_path}/out", 4, bucket_rows=16)
+    import glob
+    import os
+
+    import pyarrow.parquet as pq
+
+    assert sorted(os.listdir(f"{tmp_path}/out"))[-4:] == [f"shard={k}" for k in range(4)]
+    for k in range(4):
+        slots = [x for f in sorted(glob.glob(f"{tmp_path}/out/shard={k}/*.parquet")) for x in pq.read_table(f, columns=["slot"], partitioning=None)["slot"].to_pylist()]
+        assert slots == list(range(125))
+
+
+def test_shard_query(spark, sf):
+    got = {r["doc_id"]: r for r in rows_of(sharding.query(spark, sf))}
+    docs = rows_of(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert len(got) == len(docs)
+    for r in docs:
+        text = (r["text"] or "").encode()
+        x = got[r["doc_id"]]
+        assert (x["size"], x["text_crc32"], x["law"], x["grown_shard"]) == (len(text) + 1, zlib.crc32(text), "rows", None)
 
 
 # ---- substrings
