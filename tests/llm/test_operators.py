@@ -660,13 +660,81 @@ def test_surrogates_odd(odd, none, table):
 
 
 def test_surrogates_stay_distinct(spark):
-    found = spark.createDataFrame([("local", x) for x in "abcdefghijklmnopqrstuvwxyz"] + [("local", f"{x}{y}") for x in "abc" for y in range(10)] + [("family:latin", f"n{i}") for i in range(800)], "t string, v string")
-    got = rows_of(surrogates.assign(found, "k"))
+    rows = [("local", x, "") for x in "abcdefghijklmnopqrstuvwxyz"] + [("local", f"{x}{y}", "") for x in "abc" for y in range(10)] + [("name:latin", f"n{i}", "family") for i in range(800)]
+    got = rows_of(surrogates.assign(spark.createDataFrame(rows, "t string, v string, r string"), "k"))
     assert len(got) == 26 + 30 + 800 == len({(r["t"], r["s"]) for r in got})
     real = {(r["t"], r["v"]) for r in got}
     assert not any((r["t"], r["s"]) in real for r in got)
 
 
+@pytest.mark.parametrize("free", [0, 1, 3])
+def test_surrogates_of_a_full_format(spark, free):
+    """Numbers of two digits, nearly all of them real."""
+    rows = [("phone:", f"{i:02d}", "") for i in range(100 - free)] + [("phone:1", "5", ""), ("phone:1", "7", "")]
+    got = rows_of(surrogates.assign(spark.createDataFrame(rows, "t string, v string, r string"), "k", most_rounds=2))
+    assert len(got) == len(rows) == len({(r["t"], r["s"]) for r in got})
+    assert all(r["s"] != r["v"] and len(r["s"]) == len(r["v"]) for r in got)
+
+
+def test_a_person_keeps_a_name(spark):
+    texts = ["Dr. Anna Bell came.", "Ms. Anna Bell and Mr. Bell. Later Anna Bell, ANNA said Bell; Annabel, bell and Zoe Gray stay.", "Anna Bell left.", "Prof. BELL spoke to Mr. Anna."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in rows_of(surrogates.replace_pii(df, "k"))}
+    one = re.fullmatch(r"Dr\. (\w+) (\w+) came\.", got[0])
+    a, b = one[1], one[2]
+    assert a != "Anna" and b != "Bell"
+    assert got[1] == f"Ms. {a} {b} and Mr. {b}. Later {a} {b}, {a.upper()} said {b}; Annabel, bell and Zoe Gray stay."
+    assert got[2] == texts[2] and got[3] == f"Prof. {b.upper()} spoke to Mr. {a}."
+    assert a.endswith(tuple("ia ella ina".split())) and b.endswith(tuple(surrogates.PARTS["latin"][3].split(",")))
+
+
+def test_formats(spark):
+    texts = ["+14155550123", "+49 30 12345678", "+33 1 23 45 67 89", "1-800-555-1234", "+1 (017) 555-7713", "(212) 555 0188", "212.555.0188", "123-45-6789", "4111 1111 1111 1111", "a\u0001b x@y.org \u0001", "אבי@דוגמה.com", "علي@مثال.net"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in rows_of(surrogates.replace_pii(df, "k"))}
+    kinds = ["phone"] * 7 + ["ssn", "card"] + ["email"] * 3
+    for k, (t, kind) in enumerate(zip(texts, kinds, strict=True)):
+        fresh = rows[k]["text"]
+        assert [rows[k][f"n_{x}"] for x in surrogates.KINDS] == [int(x == kind) for x in surrogates.KINDS], t
+        assert fresh != t and re.sub(r"\d", "0", fresh) == re.sub(r"\d", "0", t) if kind != "email" else len(fresh) == len(t)
+    assert rows[1]["text"].startswith("+49 ") and rows[3]["text"].startswith("1-") and rows[9]["text"][:4] == "a\u0001b "
+    assert all("\u0590" <= c <= "\u05ff" for c in rows[10]["text"].replace("@", "").replace(".com", ""))
+    assert all("\u0600" <= c <= "\u06ff" for c in rows[11]["text"].replace("@", "").replace(".net", ""))
+    names = ["السيدة ليلى حداد هنا", "גברת רותי לוי כאן", "श्री राम शर्मा"]
+    got = rows_of(surrogates.replace_pii(spark.createDataFrame(list(enumerate(names)), "doc_id long, text string"), "k"))
+    for r in got:
+        assert r["n_name"] == 1 and r["text"] != names[r["doc_id"]] and r["text"].split()[0] == names[r["doc_id"]].split()[0]
+
+
+def test_surrogates_in_the_whole_table(spark, sf):
+    """What the patterns find, found again by Python; no real entity is left; equal ones have equal surrogates."""
+    import regex
+
+    docs = {r["doc_id"]: r["text"] for r in rows_of(spark.read.parquet(f"{sf}/documents.parquet"))}
+    got = {r["doc_id"]: r for r in rows_of(surrogates.query(spark, sf))}
+    entity = regex.compile(surrogates.ENTITY.replace("++", "++"))
+    fresh, real = {}, set()
+    for i, t in docs.items():
+        found = [m[0] for m in entity.finditer(t or "")]
+        assert sum(got[i][f"n_{k}"] for k in surrogates.KINDS) == len(found)
+        if not found:
+            assert got[i]["text"] == t
+            continue
+        real |= {e for e in found if "@" in e or e[0].isdigit() or e[0] == "+"}
+        names = [w for e in found if e[0].isalpha() and "@" not in e for w in e.split()[1:]]
+        if not names:  # else words in between change too
+            gaps = entity.split(t)
+            rest = got[i]["text"]
+            for gap, e, after in zip(gaps, found, gaps[1:], strict=False):
+                assert rest.startswith(gap)
+                rest = rest[len(gap) :]
+                n = rest.index(after) if after else len(rest)
+                assert fresh.setdefault(e, rest[:n]) == rest[:n] != e
+                rest = rest[n:]
+    assert len(real) > 5 and not any(e in r["text"] for r in got.values() for e in real if r["text"])
+    assert len(set(fresh.values())) == len(fresh)
+
+
 def test_scripts_and_gender(spark):
     df = spark.createDataFrame([(1, "Госпожа Анна Иванова и Κύριος Νίκος Παπάς, Frau Müller"), (2, "Mr. JOHN SMITH")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in rows_of(surrogates.replace_pii(df, "k"))}
