@@ -110,15 +110,17 @@ def rank_in_buckets(df: DataFrame, group: list[str], key: Column, bucket: Column
     return ranked.join(offsets, [*group, "_bucket"]).withColumn(out, F.col("_in") + F.col("_offset")).drop("_key", "_bucket", "_in", "_offset")
 
 
-def input_order(df: DataFrame, out: str) -> DataFrame:
+def input_order(df: DataFrame, out: str, store: bool = False) -> DataFrame:
     """df with a number that grows along its rows, distinct, with gaps. Spark reads the files of a
     stored table in any order, so there it is the file's place by name and the row's place in the
-    file; elsewhere the partition's number and the row's place in the partition."""
+    file; elsewhere the partition's number and the row's place in the partition. store: a df that is no
+    stored table is written to the shared folder, so that the numbers are the same whenever they are read."""
     leaf = df._jdf.queryExecution().analyzed()
     while leaf.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         leaf = leaf.children().head()
     if leaf.nodeName() != "LogicalRelation" or not df.inputFiles():
-        return df.withColumn(out, F.monotonically_increasing_id())
+        numbered = df.withColumn(out, F.monotonically_increasing_id())
+        return materialize(numbered, "numbered") if store else numbered
     spot = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
     # one row a file on the driver; a longer name has a larger number
     names = sorted((r[0] for r in spot.select("_file").distinct().collect()), key=lambda x: (len(x), x))

@@ -74,17 +74,6 @@ def closure(ids, links):
 # ---- mixing
 
 
-def earliest_first(parts):
-    """Slots of (source, i), by simulation."""
-    total, out, left = sum(parts.values()), [], {s: 1 for s in parts}
-    for t in range(total):
-        open_ = [(-(-left[s] * total // m), s) for s, m in parts.items() if left[s] <= m and (left[s] - 1) * total // m <= t]
-        _, s = min(open_)
-        out.append((s, left[s]))
-        left[s] += 1
-    return out
-
-
 def test_mix_keeps_windows_and_shares(spark):
     sizes = {"a": 900, "b": 411, "c": 37, None: 5}
     weights = {"a": 3, "b": 2, "c": 1}
@@ -121,12 +110,50 @@ def test_mix_odd(odd, none, table):
         mixing.mix(odd, {"src0": 0})
 
 
-def test_every_prefix_is_within_a_block():
-    for parts in ({"a": 6, "b": 3, "c": 1, "d": 1}, {"a": 1}, {"a": 5, "b": 4, "c": 7, "d": 1, "e": 1}):
-        total, done = sum(parts.values()), Counter()
-        for t, (s, _) in enumerate(earliest_first(parts)):
-            done[s] += 1
-            assert all(abs(done[x] - (t + 1) * m / total) < 1 for x, m in parts.items())
+def mixed_by_force(sizes, weights, block_rows):
+    """(source, block, slot, release, deadline) by the plain rule: unit after unit, a source at a time."""
+    left = {s: -(-n // block_rows) for s, n in sizes.items()}
+    next_, out, start = dict.fromkeys(left, 0), [], 0
+    while any(left.values()):
+        parts = {s: min(weights[s], n) for s, n in left.items() if n}
+        total = sum(parts.values())
+        for s, m in parts.items():
+            for i in range(m):
+                out.append((s, next_[s] + i, start + i * total // m, start - (-(i + 1) * total // m)))
+            left[s] -= m
+            next_[s] += m
+        start += total
+    return out
+
+
+@pytest.mark.parametrize(
+    ("sizes", "weights", "block_rows"),
+    [
+        ({"a": 60, "b": 33, "c": 5, "d": 1}, {"a": 6, "b": 3, "c": 1, "d": 1}, 1),
+        ({"a": 64, "b": 40, "c": 71}, {"a": 5, "b": 4, "c": 7}, 3),
+        ({f"s{k}": 3 + k % 11 for k in range(1500)} | {"big": 900}, {f"s{k}": 1 for k in range(1500)} | {"big": 7}, 2),
+        ({"a": 5000, "b": 40}, {"a": 2000, "b": 1501}, 1),
+    ],
+)
+def test_mix_is_within_a_block(spark, sizes, weights, block_rows):
+    ids = iter(range(10**6))
+    df = spark.createDataFrame([(next(ids), s) for s, n in sizes.items() for _ in range(n)], "doc_id long, source string")
+    got = rows_of(mixing.mix(df, {s: w for s, w in weights.items() if w > 1}, block_rows=block_rows))
+    assert sorted(r["position"] for r in got) == list(range(sum(sizes.values())))
+    assert [r["slot"] for r in sorted(got, key=lambda r: r["position"])] == sorted(r["slot"] for r in got)
+    blocks = {(r["source"], r["block"], r["slot"], r["release"], r["deadline"]) for r in got}
+    # windows as the plain rule has them, one block a slot, each in its window
+    assert {(s, b, lo, hi) for s, b, _, lo, hi in blocks} == set(mixed_by_force(sizes, weights, block_rows))
+    assert sorted(t for _, _, t, _, _ in blocks) == list(range(len(blocks))) and all(lo <= t < hi for _, _, t, lo, hi in blocks)
+    # while all last, no source is a whole block away from its share
+    rounds = min(-(-n // block_rows) // weights[s] for s, n in sizes.items())
+    total = sum(weights.values())
+    order = [s for s, *_ in sorted(blocks, key=lambda x: x[2])][: rounds * total]
+    done = Counter()
+    for t, s in enumerate(order[: 4 * total] if len(sizes) > 100 else order):
+        done[s] += 1
+        if len(sizes) < 100 or t % 37 == 0:
+            assert all(abs(done[x] - (t + 1) * w / total) < 1 for x, w in weights.items())
 
 
 # ---- media
