@@ -1,10 +1,11 @@
 """Quality classifier with hierarchical empirical Bayes.
 
 A logistic model over words, their beginnings and shapes, fitted on a bounded sample of labelled documents,
-gives each document's evidence. Evidence is gathered by host and by path under it; each site's rate
-is shrunk to the level above (path to host, host to the whole corpus) the more the fewer documents
-it has, with a strength found by moments from the spread between sites. A document's odds are then
-moved from the corpus' base rate to its path's.
+gives each document's evidence. Labels, and evidence where there is none, are gathered by host and by
+path under it. A site's rate is that of its other documents, without the one that is judged, and is shrunk
+to the level above (path to host, host to the whole corpus) the more the fewer documents it has, with a
+strength found by moments from the spread between sites. A document's odds are then moved from the
+corpus' base rate to its path's. Where pages have addresses, `with_site` gives host and path.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import documents, materialize, raw, slices, small, text_id
+from quern.llm.common import documents, materialize, raw, slices, small, spread_join, text_id
 from quern.sources.tables import table
 
 #: Labelled documents that the model is fitted on, at most: those of the smallest hash of their id.
 SAMPLE = 8192
-#: Hash buckets of words and stems, and how many of them the model keeps for each label.
+#: Hash buckets of words and stems, and how many of them the model keeps for each label: a size of the
+#: model, as its features are; every document is judged by all of its words.
 WIDTH = 18
 HASHED = 1 << WIDTH
 CHOSEN = 128
@@ -77,15 +79,15 @@ def features(texts: list[bytes], known: Shapes) -> tuple[list[np.ndarray], np.nd
     return words, shape
 
 
-def choose(pos: np.ndarray, seen: np.ndarray, p: int, n: int) -> np.ndarray:
-    """Buckets that tell a label best, by the squared difference of its two rates over the variance.
+def choose(pos: np.ndarray, seen: np.ndarray, p: int, n: int, most: int) -> np.ndarray:
+    """The `most` buckets that tell a label best, by the squared difference of its two rates over the variance.
     pos, seen: documents with the label, and all, in which each bucket stands."""
     if not 0 < p < n:  # one class only
         return np.zeros(0, dtype=np.int64)
     both = seen / n
     score = (pos / p - (seen - pos) / (n - p)) ** 2 / np.maximum(both * (1 - both), 1e-9)
     score[seen < 4] = 0
-    best = np.argsort(-score, kind="stable")[:CHOSEN]
+    best = np.argsort(-score, kind="stable")[:most]
     return np.sort(best[score[best] > 0])
 
 
@@ -131,13 +133,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.w, -30, 30)))
 
 
-def fit(df: DataFrame, labels: DataFrame, names: list[str], key: str, text: str, sample: int = SAMPLE) -> dict[str, Model]:
+def fit(df: DataFrame, labels: DataFrame, names: list[str], key: str, text: str, sample: int = SAMPLE, chosen: int = CHOSEN) -> dict[str, Model]:
     """One model a label, on at most `sample` labelled documents. The driver gets counts of buckets
     (HASHED rows at most) and, of each sampled document, its shapes and which chosen buckets it holds."""
     good = labels.select(F.col(key).alias("_key"), *[F.col(n).cast("int").alias(f"_{n}") for n in names]).dropna()
     # a bounded table: `sample` rows at most
     drawn = F.broadcast(good.groupBy("_key").agg(*[F.max(f"_{n}").alias(f"_{n}") for n in names]).orderBy(F.xxhash64("_key"), "_key").limit(sample))
-    rows = df.join(drawn, df[key] == drawn["_key"]).select(*[(F.col(f"_{n}") > 0).cast("int").alias(f"_{n}") for n in names], F.col("_key").cast("long"), raw(text).alias("text"))
+    rows = df.join(drawn, df[key] == drawn["_key"]).select(*[(F.col(f"_{n}") > 0).cast("int").alias(f"_{n}") for n in names], F.xxhash64("_key").alias("_key"), raw(text).alias("text"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         known = Shapes()
@@ -152,14 +154,14 @@ def fit(df: DataFrame, labels: DataFrame, names: list[str], key: str, text: str,
         return {}
     counts = found.select(*[f"_{n}" for n in names], F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), *sums).toArrow()
     spread = lambda c: np.bincount(counts.column("w").to_numpy(), counts.column(c).to_numpy(), HASHED)
-    chosen = {n: choose(spread(f"_{n}"), spread("n"), total[f"_{n}"], total["n"]) for n in names}
-    told = sorted({int(w) for c in chosen.values() for w in c})
+    picked = {n: choose(spread(f"_{n}"), spread("n"), total[f"_{n}"], total["n"], chosen) for n in names}
+    told = sorted({int(w) for c in picked.values() for w in c})
     kept = F.array_intersect("words", F.lit(np.array(told, dtype=np.int32))) if told else F.slice("words", 1, 0)
     # in the order of the key: sums come out the same however tasks ended
     rows = found.select(*[f"_{n}" for n in names], "_key", kept.alias("words"), "shape").toArrow().sort_by("_key")
     words = [np.asarray(w, dtype=np.int32) for w in rows.column("words").to_pylist()]
     shape = np.array(rows.column("shape").to_pylist())
-    return {n: Model(chosen[n], words, shape, rows.column(f"_{n}").to_numpy().astype(float)) for n in names}
+    return {n: Model(picked[n], words, shape, rows.column(f"_{n}").to_numpy().astype(float)) for n in names}
 
 
 def evidence(df: DataFrame, models: dict[str, Model], keep: list[str], text: str) -> DataFrame:
@@ -176,34 +178,40 @@ def evidence(df: DataFrame, models: dict[str, Model], keep: list[str], text: str
     return df.select(*keep, raw(text).alias("text")).mapInArrow(run, schema)
 
 
-def shrunk(df: DataFrame, p: str, host: str, path: str) -> DataFrame:
-    """df and rate_{p}: the rate of its path, shrunk to its host's, which is shrunk to the corpus'.
-
-    The strength of each prior is mean * (1 - mean) / variance between sites - 1, by moments over
-    sites weighed by size, kept between 1 and 10,000 documents.
-    """
-
-    def level(x: DataFrame, keys: list[str]) -> DataFrame:
-        return x.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"), F.sum("_v").alias("_v"))
-
-    def strength(x: DataFrame, name: str) -> DataFrame:
-        # between-site variance: spread of site means less what chance within sites explains
-        m = F.sum("_s") / F.sum("_n")
-        spread = F.sum(F.col("_s") * F.col("_s") / F.col("_n")) / F.sum("_n") - m * m
-        chance = F.sum(F.col("_v") / F.col("_n") - (F.col("_s") / F.col("_n")) * (F.col("_s") / F.col("_n"))) / F.sum("_n")
-        between = F.greatest(spread - chance, F.lit(1e-9))
-        return x.agg(m.alias("_mean"), F.least(F.lit(1e4), F.greatest(F.lit(1.0), m * (1 - m) / between - 1)).alias(name))
-
-    one = df.select(host, path, F.lit(1).cast("double").alias("_n"), F.col(p).alias("_s"), (F.col(p) * F.col(p)).alias("_v"))
-    paths = materialize(level(one, [host, path]), "paths")
-    hosts = level(paths, [host])
-    top, under = strength(hosts, "_k1"), strength(paths, "_k2").select("_k2")
-    # one row each: the size of these broadcasts is fixed
-    h = hosts.join(F.broadcast(top)).select(F.col(host).alias("_h"), ((F.col("_s") + F.col("_k1") * F.col("_mean")) / (F.col("_n") + F.col("_k1"))).alias("_host_rate"), "_mean")
-    r = paths.join(F.broadcast(under)).join(h, F.col(host).eqNullSafe(F.col("_h")))
-    r = r.select(F.col(host).alias("_h"), F.col(path).alias("_p"), ((F.col("_s") + F.col("_k2") * F.col("_host_rate")) / (F.col("_n") + F.col("_k2"))).alias(f"rate_{p}"), F.col("_mean").alias(f"mean_{p}"))
-    r = small(materialize(r, "rates"))
-    return df.join(r, F.col(host).eqNullSafe(F.col("_h")) & F.col(path).eqNullSafe(F.col("_p"))).drop("_h", "_p")
+def with_site(df: DataFrame, url: str, host: str = "host", path: str = "path") -> DataFrame:
+    """df with the host of an address and the first folder of its path, in lower case; null where there is none."""
+    own = F.lower(F.try_parse_url(F.col(url), F.lit("HOST")))
+    folder = F.regexp_extract(F.coalesce(F.try_parse_url(F.col(url), F.lit("PATH")), F.lit("")), r"^(/[^/]+)/", 1)
+    return df.withColumn(host, own).withColumn(path, F.when(own.isNotNull(), F.lower(folder)))
+
+
+def strength(sites: DataFrame) -> tuple[float, float]:
+    """Mean rate, and documents that the level above counts for: mean * (1 - mean) / variance between
+    sites - 1, by moments over sites weighed by size, kept between 1 and 10,000. One row on the driver."""
+    n, s, v = (F.col(c) for c in ("_n", "_s", "_v"))
+    # between sites: spread of their means less what chance within sites explains
+    total, mean, square, chance = sites.agg(F.sum(n), F.sum(s) / F.sum(n), F.sum(s * s / n) / F.sum(n), F.sum(v / n - (s / n) * (s / n)) / F.sum(n)).first()
+    if not total:
+        return 0.5, 1.0
+    between = max(square - mean * mean - chance, 1e-9)
+    return mean, min(1e4, max(1.0, mean * (1 - mean) / between - 1))
+
+
+def shrunk(df: DataFrame, value: str, host: str, path: str) -> DataFrame:
+    """df with rate: that of the other documents of its path, shrunk to that of the others of its host,
+    which is shrunk to the corpus' mean; and with mean. value: of each document, between 0 and 1. host
+    and path hold no null."""
+    x = F.col(value)
+    paths = df.groupBy(host, path).agg(F.count(F.lit(1)).alias("_n"), F.sum(x).alias("_s"), F.sum(x * x).alias("_v"))
+    paths = materialize(paths, "paths")
+    hosts = paths.groupBy(host).agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"), F.sum("_v").alias("_v"))
+    mean, over_host = strength(hosts)
+    _, over_path = strength(paths)
+    sites = paths.select(host, path, "_n", "_s").join(small(hosts.select(host, F.col("_n").alias("_hn"), F.col("_s").alias("_hs"))), host)
+    out = spread_join(df, sites.withColumn("_many", F.col("_n")), [host, path], "_many", df.count())
+    of_host = (F.col("_hs") - x + over_host * mean) / (F.col("_hn") - 1 + over_host)
+    of_path = (F.col("_s") - x + over_path * of_host) / (F.col("_n") - 1 + over_path)
+    return out.withColumn("rate", of_path).withColumn("mean", F.lit(mean)).drop("_n", "_s", "_hn", "_hs")
 
 
 def logit(p):
@@ -211,28 +219,34 @@ def logit(p):
     return F.log(p / (1 - p))
 
 
-def classify(df: DataFrame, labels: DataFrame, good: str = "quality", bad: str = "toxic", host: str = "source", path: str = "lang", key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
+def classify(
+    df: DataFrame, labels: DataFrame, good: str = "quality", bad: str = "toxic", host: str = "source", path: str = "lang",
+    key: str = "doc_id", text: str = "text", sample: int = SAMPLE, chosen: int = CHOSEN,
+) -> DataFrame:
     """key, text_id, evidence and posterior of both labels, kept.
 
     Kept: the posterior of `good` is at least a half and that of `bad` less. Without labels every
     document is kept. Labels with nulls aren't used, of several for a key the largest counts. Null
     hosts and paths are sites of their own; null and empty texts have no words. Repeated rows are judged
-    alike. An empty table gives no rows.
+    alike. An empty table gives no rows. sample: labelled documents that the model is fitted on, at most;
+    chosen: buckets of words that it keeps for a label. Labels beyond the sample count at their sites.
     """
-    models = fit(df, labels, [good, bad], key, text, sample)
+    models = fit(df, labels, [good, bad], key, text, sample, chosen)
     if not models:
         half = F.lit(1.0)
         return df.select(key, text_id(text).alias("text_id"), *[half.alias(f"{a}_{b}") for b in (good, bad) for a in ("evidence", "posterior")], F.lit(True).alias("kept"))
-    x = df.select(key, text_id(text).alias("text_id"), F.col(host).alias("host"), F.col(path).alias("path"), F.col(text).alias("text"))
-    found = materialize(evidence(x, models, [key, "text_id", "host", "path"], "text"), "evidence")
-    out = found
+    site = lambda c: F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(c).cast("string")))
+    x = df.select(F.col(key).alias("_key"), text_id(text).alias("text_id"), site(host).alias("host"), site(path).alias("path"), F.col(text).alias("text"))
+    found = evidence(x, models, ["_key", "text_id", "host", "path"], "text")
+    known = labels.select(F.col(key).alias("_key"), *[(F.col(n).cast("int") > 0).cast("double").alias(f"y_{n}") for n in (good, bad)]).dropna()
+    known = known.groupBy("_key").agg(*[F.max(f"y_{n}").alias(f"y_{n}") for n in (good, bad)])
+    out = materialize(found.join(small(known), "_key", "left"), "evidence")
     for n in (good, bad):
-        out = shrunk(out, f"p_{n}", "host", "path")
-        p = F.col(f"p_{n}")
-        moved = logit(p) + logit(F.col(f"rate_p_{n}")) - logit(F.col(f"mean_p_{n}"))
-        out = out.withColumn(f"evidence_{n}", p).withColumn(f"posterior_{n}", 1 / (1 + F.exp(-moved)))
+        out = shrunk(out.withColumn("_value", F.coalesce(f"y_{n}", f"p_{n}")), "_value", "host", "path")
+        moved = logit(F.col(f"p_{n}")) + logit(F.col("rate")) - logit(F.col("mean"))
+        out = out.withColumn(f"posterior_{n}", 1 / (1 + F.exp(-moved))).drop("_value", "rate", "mean")
     kept = (F.col(f"posterior_{good}") >= 0.5) & (F.col(f"posterior_{bad}") < 0.5)
-    return out.select(key, "text_id", f"evidence_{good}", f"posterior_{good}", f"evidence_{bad}", f"posterior_{bad}", kept.alias("kept"))
+    return out.select(F.col("_key").alias(key), "text_id", *[F.col(c).alias(c.replace("p_", "evidence_") if c.startswith("p_") else c) for n in (good, bad) for c in (f"p_{n}", f"posterior_{n}")], kept.alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -793,12 +793,68 @@ def test_quality_odd(spark, odd, none, table):
     assert quality.classify(none, labels).count() == 0
 
 
+def rates_by_force(rows):
+    """(rate of the path, mean) of each row (host, path, value), by loops."""
+    def moments(keys):
+        sites = defaultdict(list)
+        for k, (_, _, v) in zip(keys, rows, strict=True):
+            sites[k].append(v)
+        n = len(rows)
+        mean = sum(v for *_, v in rows) / n
+        spread = sum(len(x) * (sum(x) / len(x) - mean) ** 2 for x in sites.values()) / n
+        within = sum(np.var(x) for x in sites.values()) / n
+        return sites, mean, min(1e4, max(1.0, mean * (1 - mean) / max(spread - within, 1e-9) - 1))
+
+    hosts, mean, k1 = moments([h for h, _, _ in rows])
+    paths, _, k2 = moments([(h, p) for h, p, _ in rows])
+    out = []
+    for h, p, v in rows:
+        top = (sum(hosts[h]) - v + k1 * mean) / (len(hosts[h]) - 1 + k1)
+        out.append((sum(paths[h, p]) - v + k2 * top) / (len(paths[h, p]) - 1 + k2))
+    return out
+
+
+def test_site_rates(spark):
+    r = np.random.default_rng(4)
+    rows = [(f"h{h}", f"p{p}", float(np.clip(r.normal(0.2 + 0.1 * h, 0.2), 0, 1))) for h in range(6) for p in range(3) for _ in range(int(r.integers(1, 60)))]
+    rows += [("alone", "p0", 1.0)]
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "k long, host string, path string, v double").repartition(3)
+    got = {x["k"]: x["rate"] for x in rows_of(quality.shrunk(df, "v", "host", "path"))}
+    want = rates_by_force(rows)
+    assert len(got) == len(rows) and all(abs(got[k] - x) < 1e-9 for k, x in enumerate(want))
+    # a document alone at its site is judged by the level above, not by itself
+    assert abs(got[len(rows) - 1] - sum(x[2] for x in rows) / len(rows)) < 1e-9
+
+
 def test_small_sites_shrink_more(spark):
-    data = [("big", "a", 0.9)] * 300 + [("small", "a", 0.9)] * 2 + [("low", "a", 0.1)] * 300 + [("big", None, 0.1)] * 3
+    data = [("big", "a", 0.9)] * 300 + [("small", "a", 0.9)] * 3 + [("low", "a", 0.1)] * 300 + [("big", "n", 0.1)] * 3
     df = spark.createDataFrame(data, "host string, path string, p double")
-    got = {(r["host"], r["path"]): r["rate_p"] for r in rows_of(quality.shrunk(df, "p", "host", "path").dropDuplicates(["host", "path"]))}
+    got = {(r["host"], r["path"]): r["rate"] for r in rows_of(quality.shrunk(df, "p", "host", "path").dropDuplicates(["host", "path"]))}
     mean = sum(x[2] for x in data) / len(data)
-    assert abs(got["big", "a"] - 0.9) < abs(got["small", "a"] - 0.9) and mean < got["small", "a"] < 0.9 and got["big", None] > 0.1
+    assert abs(got["big", "a"] - 0.9) < abs(got["small", "a"] - 0.9) and mean < got["small", "a"] < 0.9 and got["big", "n"] > 0.1
+
+
+def test_sites_decide_where_texts_do_not(spark):
+    """Texts that tell nothing; labels of a site's other documents do."""
+    rows = [(k, "the same words in all", "bad" if k % 2 else "fine", "en") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(200)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in rows_of(quality.classify(df, labels))}
+    assert len({r["evidence_quality"] for r in got.values()}) == 1
+    assert all(got[k]["kept"] == (k % 2 == 0) for k in range(400))
+
+
+def test_sites_of_addresses(spark):
+    urls = ["https://Example.COM/Blog/2024/x.html?q=1", "http://a.org/", "http://a.org/page", "not an address", None, "https://b.net/x/y/"]
+    got = rows_of(quality.with_site(spark.createDataFrame([(u,) for u in urls], "url string"), "url"))
+    assert [(r["host"], r["path"]) for r in got] == [("example.com", "/blog"), ("a.org", ""), ("a.org", ""), (None, None), (None, None), ("b.net", "/x")]
+
+
+def test_quality_of_text_keys(spark):
+    df = spark.createDataFrame([(f"d{k}", "good words here" if k % 2 else "junk $$$ %%% 111", "s", "en") for k in range(60)], "doc_id string, text string, source string, lang string")
+    labels = spark.createDataFrame([(f"d{k}", k % 2, 0) for k in range(30)], "doc_id string, quality int, toxic int")
+    got = {r["doc_id"]: r["kept"] for r in rows_of(quality.classify(df, labels))}
+    assert got == {f"d{k}": k % 2 == 1 for k in range(60)}
 
 
 # ---- secrets
