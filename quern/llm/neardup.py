@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import WordHash, components, documents, materialize, raw, slices, small, text_id
+from quern.llm.common import WordHash, components, documents, input_order, materialize, raw, slices, small, spread_join, text_id
 
 BANDS = 25
 ROWS = 5
@@ -30,9 +30,10 @@ BITS = 2
 SEED = 11
 #: Standard deviations by which an estimate may fall short before a pair is no candidate.
 SLACK = 4.0
-#: Members of a bucket that are held at once; of a unit that one task takes.
+#: Members of a bucket that are held at once; members of a unit, and shingles of theirs, that one task takes.
 BUCKET = 4096
 UNIT = 4096
+UNIT_SHINGLES = 1 << 23
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -155,11 +156,10 @@ def profile(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
     return df.select(key, text_id(text).alias("text_id"), raw(text).alias("text")).mapInArrow(run, schema)
 
 
-def groups(batches, key: str, most: int = 1 << 62) -> Iterator[tuple[object, bool, pa.Table]]:
-    """Rows of one key after another, from input sorted by it: (key, whether it goes on from the
-    rows before, rows); a key of many rows comes in parts of at most `most`."""
+def groups(batches, key: str) -> Iterator[pa.Table]:
+    """All rows of one key after another, from input sorted by it."""
     held: list[pa.RecordBatch] = []
-    held_key, rows, goes_on = None, 0, False
+    held_key = None
     for b in batches:
         if b.num_rows == 0:
             continue
@@ -167,37 +167,30 @@ def groups(batches, key: str, most: int = 1 << 62) -> Iterator[tuple[object, boo
         cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             if held and k[lo] != held_key:
-                yield held_key, goes_on, pa.Table.from_batches(held)
-                held, rows, goes_on = [], 0, False
+                yield pa.Table.from_batches(held)
+                held = []
             held_key = k[lo]
-            while lo < hi:
-                take = min(hi - lo, most - rows)
-                held.append(b.slice(lo, take))
-                rows += take
-                lo += take
-                if rows == most:
-                    yield held_key, goes_on, pa.Table.from_batches(held)
-                    held, rows, goes_on = [], 0, True
+            held.append(b.slice(lo, hi - lo))
     if held:
-        yield held_key, goes_on, pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held)
 
 
 def ties(buckets: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) of a spanning forest of each bucket's classes that may be alike. A part of a
-    large bucket is tied to the part before: this merges units, and units only say what is compared."""
+    """Edges (a, b) of a spanning forest of each bucket's classes that may be alike. buckets: bucket, rep,
+    bits, crowded; of a part of a crowded bucket all trees are tied to its smallest member, for members
+    of other parts may link to any of them. Ties only say what is compared."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        before = None
-        for _, goes_on, t in groups(batches, "bucket", BUCKET):
+        for t in groups(batches, "bucket"):
             ids = t.column("rep").to_numpy()
-            if goes_on and before is not None:
-                a.append(before)
-                b.append(int(ids[0]))
-            before = int(ids[0])
             if len(ids) > 1:
                 bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-                for i, j in walk(len(ids), lambda i, rest: agreement(bits[i], bits[rest]) >= least):  # noqa: B023
+                edges = walk(len(ids), lambda i, rest: agreement(bits[i], bits[rest]) >= least)  # noqa: B023
+                if t.column("crowded")[0].as_py():
+                    below = {j for _, j in edges}
+                    edges += [(0, k) for k in range(1, len(ids)) if k not in below]
+                for i, j in edges:
                     a.append(int(ids[i]))
                     b.append(int(ids[j]))
             if len(a) > 50_000:
@@ -286,26 +279,26 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
     found = materialize(profile(df, size, key, text), "profiles")
     usable = found.where(F.col(key).isNotNull() & (F.col("n_shingles") > 0))
     # copies meet here: partial sums by class before the shuffle
-    classes = usable.groupBy("set_a", "set_b").agg(F.min(F.struct(F.col(key).alias("rep"), "text_id")).alias("r"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
-    classes = materialize(classes.select("set_a", "set_b", "r.rep", "r.text_id", "bits", "bands"), "classes")
+    one = [F.first(c).alias(c) for c in ("bits", "bands", "n_shingles")]
+    classes = usable.groupBy("set_a", "set_b").agg(F.min(F.struct(F.col(key).alias("rep"), "text_id")).alias("r"), F.count(F.lit(1)).alias("copies"), *one)
+    classes = materialize(classes.select("set_a", "set_b", "r.rep", "r.text_id", "copies", "n_shingles", "bits", "bands"), "classes")
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
     # buckets of many classes are dealt to parts; each part is tied to the bucket's smallest member
     counts = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low")).where("n > 1")
-    counts = materialize(counts, "buckets")
-    crowded = counts.where(F.col("n") > BUCKET).select("bucket", "low", F.ceil(F.col("n") / BUCKET).alias("parts"))
-    pairs = banded.join(counts.select("bucket"), "bucket")
-    pairs = pairs.join(small(crowded), "bucket", "left")
+    counts = materialize(counts.withColumn("parts", F.when(F.col("n") > BUCKET, F.ceil(2 * F.col("n") / BUCKET))), "buckets")
+    pairs = spread_join(banded, counts, ["bucket"], "n", BANDS * classes.count())
     part = F.coalesce(F.pmod(F.xxhash64("rep"), "parts"), F.lit(0))
     pairs = pairs.withColumn("part", part).join(classes.select("rep", "bits"), "rep")
-    dealt = pairs.select(F.xxhash64("bucket", "part").alias("bucket"), "rep", "bits", "low", "part").repartition("bucket")
+    dealt = pairs.select(F.xxhash64("bucket", "part").alias("bucket"), "rep", "bits", F.col("parts").isNotNull().alias("crowded")).repartition("bucket")
     least = least_estimate(percent / 100)
-    own = ties(dealt.sortWithinPartitions("bucket", "rep").select("bucket", "rep", "bits"), least)
+    own = ties(dealt.sortWithinPartitions("bucket", "rep"), least)
     across = pairs.where("parts IS NOT NULL").groupBy("bucket", "part").agg(F.min("rep").alias("a"), F.min("low").alias("b")).select("a", "b")
     unit = materialize(components(own.unionByName(across)), "units")
-    sizes = unit.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > UNIT)
-    sizes = sizes.select("component", (2 * F.ceil(F.col("n") / UNIT)).alias("blocks"))
+    held = unit.join(classes.select(F.col("rep").alias("node"), "n_shingles"), "node")
+    sizes = held.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    sizes = sizes.withColumn("blocks", 2 * F.ceil(F.greatest(F.col("n") / UNIT, F.col("s") / UNIT_SHINGLES))).where("blocks > 2").select("component", "blocks", "n")
     # every two blocks of a large unit meet in one task; an ordinary unit is one block
-    wide = unit.join(small(sizes), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    wide = spread_join(unit, sizes, ["component"], "n", unit.count(), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     wide = wide.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     wide = wide.where("blocks = 1 OR other <> mine")
     wide = wide.select(F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), F.col("node").alias("rep"))
@@ -315,9 +308,9 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
     told = small(materialize(members, "members"))
     met = texts.join(told, ["rep", "text_id"]).select("unit", "rep", "text").repartition("unit").sortWithinPartitions("unit", "rep")
     linked = components(confirm(met, size, percent))
-    result = classes.select("set_a", "set_b", "rep").join(linked, F.col("rep") == F.col("node"), "left")
-    result = result.select("set_a", "set_b", F.coalesce("component", "rep").alias("_component"))
-    out = found.select(key, "text_id", "n_shingles", "set_a", "set_b").join(result, ["set_a", "set_b"], "left")
+    result = classes.select("set_a", "set_b", "rep", "copies").join(linked, F.col("rep") == F.col("node"), "left")
+    result = result.select("set_a", "set_b", "copies", F.coalesce("component", "rep").alias("_component"))
+    out = spread_join(found.select(key, "text_id", "n_shingles", "set_a", "set_b"), result, ["set_a", "set_b"], "copies", found.count(), "left")
     component = F.when(F.col(key).isNotNull(), F.coalesce("_component", F.col(key)))
     out = out.withColumn("component_id", component)
     return out.select(key, "text_id", "n_shingles", "component_id", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -328,11 +321,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    found = near_duplicates(docs)
-    gone = materialize(found.where("NOT kept").select("doc_id", "text_id"), "gone").distinct()
-    return docs.withColumn("_text_id", text_id()).join(
-        small(gone.select(F.col("doc_id").alias("_gone"), F.col("text_id").alias("_gone_text"))),
-        F.expr("doc_id = _gone AND _text_id = _gone_text"),
-        "left_anti",
-    ).drop("_text_id")
+    """One row of each group of near-duplicates stays: the one of the smallest doc_id, any row with an id before
+    those without. Rows are told apart by their place in docs: rows that repeat an id and a text are
+    copies of each other, rows that repeat an id only aren't, and rows without an id are judged by their texts."""
+    rows = input_order(docs, "_row", store=True)
+    found = near_duplicates(rows, key="_row").select("_row", "component_id")
+    told = materialize(found.join(rows.select("_row", F.col("doc_id").isNull().alias("_none"), "doc_id"), "_row"), "groups")
+    stays = told.groupBy("component_id").agg(F.min(F.struct("_none", "doc_id", "_row")).alias("b")).select("b._row")
+    gone = materialize(told.select("_row").join(stays, "_row", "left_anti"), "gone")
+    return rows.join(small(gone), "_row", "left_anti").select(*docs.columns)

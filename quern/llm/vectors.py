@@ -166,7 +166,7 @@ def meet(dealt: DataFrame, cosine: float) -> DataFrame:
     Rows (a, b, n): a spanning forest's edges, and sums of linked copies (b null)."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for _, _, t in groups(batches, "task"):
+        for t in groups(batches, "task"):
             t = t.combine_chunks()
             q = t.column("query").to_numpy(zero_copy_only=False)
             copies = t.column("copies").to_numpy()
