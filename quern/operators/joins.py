@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_LIMIT = 64 << 20
+from quern.session import setting
+
+#: Estimated bytes of a side that is broadcast on request. Of a Parquet scan the estimate is of stored
+#: bytes; the rows take several times that, and fit all the same.
+BROADCAST_LIMIT = 16 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the plan's output."""
+    """Spark's estimate of the plan's output."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
@@ -18,6 +24,26 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def node_of(key: Column | str, nodes: int) -> Column:
+    """The node that a shuffle by key sends a row to, as Spark's own hash partitioning does."""
+    return F.pmod(F.hash(key), F.lit(nodes))
+
+
+def bloom_join(spark: SparkSession, join: Callable[[], DataFrame], largest: str = "10GB") -> DataFrame:
+    """The join that `join` makes, planned so that a Bloom filter of the build side's keys is tested
+    on probe rows before they are shuffled, at any size of the probe side."""
+    names = {
+        "spark__sql__optimizer__runtime__bloomFilter__enabled": "true",
+        "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0",
+        "spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold": largest,
+        "spark__sql__autoBroadcastJoinThreshold": "-1",
+    }
+    with setting(spark, **names):
+        df = join()
+        df._jdf.queryExecution().executedPlan()  # planned while the settings hold
+        return df
+
+
 def choose_join(probe_bytes: int, build_bytes: int, nodes: int) -> str:
     """Broadcast sends the build side to all other nodes; a shuffle moves all but 1/nodes of both."""
     broadcast = build_bytes * (nodes - 1)
@@ -38,7 +64,7 @@ def inner(probe: DataFrame, build: DataFrame, on: Column | str | list, how: str
 def heavy_keys(df: DataFrame, key: str, nodes: int) -> DataFrame:
     """Keys with more rows than half an even share of one node."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
-    total = df.agg((F.count(F.lit(1)) / (2.0 * nodes)).alias("half_share"))
+    total = counts.agg((F.sum("n_rows") / (2.0 * nodes)).alias("half_share"))
     # one row of totals: the size of this broadcast is fixed
     return counts.join(F.broadcast(total), F.col("n_rows") > F.col("half_share")).select(key, "n_rows")
 

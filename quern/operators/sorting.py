@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,12 @@ def top_per_group(df: DataFrame, group: list[str], keys: list[tuple[str, bool]],
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def merge_runs(runs: list[DataFrame], keys: list[tuple[str, bool]]) -> DataFrame:
+    """One sorted table of several: stretches of the keys' range are dealt to tasks, each of which merges what
+    it gets of every run."""
+    return sort(functools.reduce(DataFrame.unionByName, runs), keys)
+
+
 def cut_runs(batch_bytes: list[int], limit: int) -> list[list[int]]:
     """Indices of batches in each sorted run: a run is cut when the next batch would pass the limit."""
     runs: list[list[int]] = [[]]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from quern.functions.predicates import Affine, Comparison, conjunction, move_con
 from quern.functions.scalar import exact_sum, ieee_div
 from quern.operators import aggregates, joins, sharing, sorting
 from quern.plans import cost, sqltext
-from quern.session import setting, shared_dir
+from quern.session import setting
 from quern.sources import manifest, storage, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +45,17 @@ def _t(spark, d, name):
     return tables.table(spark, d, name)
 
 
+@contextlib.contextmanager
+def _view(spark, df: DataFrame) -> Iterator[str]:
+    """A name for a table in SQL text, gone once the text is analysed."""
+    name = f"quern_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    try:
+        yield name
+    finally:
+        spark.catalog.dropTempView(name)
+
+
 def _ntz(x: datetime.datetime):
     return F.expr(f"TIMESTAMP_NTZ '{x:%Y-%m-%d %H:%M:%S}'")
 
@@ -194,7 +208,15 @@ def _(spark, d):
 
 @query("two_phase_agg", f"SELECT o_custkey, {SUMMARY} FROM orders GROUP BY o_custkey")
 def _(spark, d):
-    return aggregates.combine(aggregates.partial(_t(spark, d, "orders"), ["o_custkey"], "o_totalprice", 4), ["o_custkey"])
+    # Spark's own two phases: tasks aggregate before the one shuffle, which carries a row a task and key
+    return aggregates.summary(_t(spark, d, "orders"), ["o_custkey"], "o_totalprice")
+
+
+@query("combine_partials", f"SELECT o_custkey, {SUMMARY.replace('o_totalprice', 'price')} FROM (SELECT o_custkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS price FROM orders) GROUP BY o_custkey")
+def _(spark, d):
+    o = _t(spark, d, "orders").withColumn("price", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")))
+    states = aggregates.partial(o, ["o_custkey"], "price", F.date_trunc("month", "o_orderdate"))
+    return aggregates.combine(states, ["o_custkey"])
 
 
 @query("one_phase_agg", f"SELECT o_custkey, {SUMMARY} FROM orders GROUP BY o_custkey")
@@ -209,12 +231,14 @@ def _(spark, d):
 
 @query("approx_top", None)
 def _(spark, d):
-    name = f"orders_{uuid.uuid4().hex}"
-    _t(spark, d, "orders").createOrReplaceTempView(name)
-    return spark.sql(f"SELECT x.item AS o_orderpriority, x.count AS n FROM (SELECT explode(approx_top_k(o_orderpriority, 3)) AS x FROM {name})")
+    with _view(spark, _t(spark, d, "orders")) as name:
+        return spark.sql(f"SELECT x.item AS o_custkey, x.count AS n FROM (SELECT explode(approx_top_k(o_custkey, 3, 100000)) AS x FROM {name})")
 
 
-@query("equal_depth_histogram", None)
+@query(
+    "equal_depth_histogram",
+    "SELECT CAST(b AS INTEGER) AS bucket, (SELECT v[CAST(greatest(1, ceil(len(v) * b / 10.0)) AS INTEGER)] FROM (SELECT list_sort(list(o_totalprice)) AS v FROM orders)) AS bound FROM range(11) t(b)",
+)
 def _(spark, d):
     return aggregates.equal_depth(_t(spark, d, "orders"), "o_totalprice", 10)
 
@@ -226,9 +250,8 @@ BIG = "WITH r AS (SELECT o_custkey, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))
 
 @query("having_scalar_subquery", BIG)
 def _(spark, d):
-    name = f"orders_{uuid.uuid4().hex}"
-    _t(spark, d, "orders").createOrReplaceTempView(name)
-    return spark.sql(BIG.replace("FROM orders", f"FROM {name}"))
+    with _view(spark, _t(spark, d, "orders")) as name:
+        return spark.sql(BIG.replace("FROM orders", f"FROM {name}"))
 
 
 @query("cte_materialized", BIG)
@@ -319,8 +342,25 @@ def _(spark, d):
 
 @query("self_join_count", "SELECT count(*) AS n FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey")
 def _(spark, d):
-    o = _t(spark, d, "orders").select("o_custkey")
-    return o.alias("a").join(o.alias("b"), F.col("a.o_custkey") == F.col("b.o_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    # n rows of a key make n * n pairs: they are counted, not made
+    by = _t(spark, d, "orders").where("o_custkey IS NOT NULL").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return by.agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("n"))
+
+
+@query("self_join", "SELECT a.o_orderkey AS one, b.o_orderkey AS other FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate = b.o_orderdate WHERE a.o_orderkey < b.o_orderkey")
+def _(spark, d):
+    a, b = (_t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate").alias(x) for x in "ab")
+    on = (F.col("a.o_custkey") == F.col("b.o_custkey")) & (F.col("a.o_orderdate") == F.col("b.o_orderdate")) & (F.col("a.o_orderkey") < F.col("b.o_orderkey"))
+    return a.join(b, on).select(F.col("a.o_orderkey").alias("one"), F.col("b.o_orderkey").alias("other"))
+
+
+@query("join_bloom", TWO + " WHERE c_mktsegment = 'BUILDING'")
+def _(spark, d):
+    def join():
+        o, c = _t(spark, d, "orders"), _t(spark, d, "customer").where(F.col("c_mktsegment") == "BUILDING")
+        return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_name", "c_mktsegment")
+
+    return joins.bloom_join(spark, join)
 
 
 @query(
@@ -373,7 +413,7 @@ def _(spark, d):
     return sqltext.run(spark, "SELECT o_orderpriority, count(*) AS n FROM 'orders.parquet' GROUP BY 1 ORDER BY 2, 1", d)
 
 
-@query("row_index", None)
+@query("row_index", "SELECT o_orderkey, o_orderdate, row_number() OVER () - 1 AS file_row_number FROM orders")
 def _(spark, d):
     return tables.with_row_index(_t(spark, d, "orders").select("o_orderkey", "o_orderdate", "_metadata")).drop("_metadata")
 
@@ -381,39 +421,36 @@ def _(spark, d):
 # ---- layouts
 
 
-def _layout(spark, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/layout-{name}-{uuid.uuid4().hex}"
+def _orders_by_day(spark, d):
+    return _t(spark, d, "orders").withColumn("o_orderdate", F.to_date("o_orderdate"))
 
 
 @query("page_pruned", f"SELECT {ORDER_COLUMNS} FROM orders WHERE {FORTNIGHT_SQL}")
 def _(spark, d):
-    at = _layout(spark, "paged")
-    o = _t(spark, d, "orders").withColumn("o_orderdate", F.to_date("o_orderdate"))
-    tables.write_sorted(o, at, "o_orderdate")
+    at = tables.laid_out(spark, "paged", d, lambda to: tables.write_sorted(_orders_by_day(spark, d), to, "o_orderdate"))
     test = (F.col("o_orderdate") >= F.lit(START.date())) & (F.col("o_orderdate") < F.lit(END.date()))
     return spark.read.parquet(at).where(test).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+def _months(spark, d) -> str:
+    return tables.laid_out(spark, "months", d, lambda to: tables.write_by_month(_t(spark, d, "orders"), to, "o_orderdate"))
+
+
 @query("hive_pruned", f"SELECT {ORDER_COLUMNS} FROM orders WHERE {FORTNIGHT_SQL}")
 def _(spark, d):
-    at = _layout(spark, "months")
-    tables.write_by_month(_t(spark, d, "orders"), at, "o_orderdate")
-    return _fortnight(spark.read.parquet(at).where(F.col("month") == "1996-03")).select("o_orderkey", "o_custkey", "o_totalprice")
+    months = [f"{START:%Y-%m}", f"{END:%Y-%m}"]
+    return _fortnight(spark.read.parquet(_months(spark, d)).where(F.col("month").between(*months))).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 @query("glob_read", f"SELECT {ORDER_COLUMNS} FROM orders WHERE {FORTNIGHT_SQL}")
 def _(spark, d):
-    at = _layout(spark, "glob")
-    tables.write_by_month(_t(spark, d, "orders"), at, "o_orderdate")
-    return _fortnight(tables.scan(spark, f"{at}/month=1996-*/*.parquet")).select("o_orderkey", "o_custkey", "o_totalprice")
+    return _fortnight(tables.scan(spark, f"{_months(spark, d)}/month={START:%Y}-*/*.parquet")).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 @query("manifest_pruned", f"SELECT {ORDER_COLUMNS} FROM orders WHERE {FORTNIGHT_SQL}")
 def _(spark, d):
-    at, by = _layout(spark, "files"), _layout(spark, "bounds")
-    o = _t(spark, d, "orders").withColumn("o_orderdate", F.to_date("o_orderdate"))
-    tables.write_sorted(o, at, "o_orderdate", files=12)
-    manifest.write_manifest(spark.read.parquet(at), ["o_orderdate", "o_custkey"], by)
+    at = tables.laid_out(spark, "files", d, lambda to: tables.write_sorted(_orders_by_day(spark, d), to, "o_orderdate", max(12, tables.files_for(_t(spark, d, "orders")))))
+    by = tables.laid_out(spark, "bounds", d, lambda to: manifest.write_manifest(spark.read.parquet(at), ["o_orderdate", "o_custkey"], to))
     tests = [Comparison("o_orderdate", ">=", START.date()), Comparison("o_orderdate", "<", END.date())]
     return manifest.read_pruned(spark, by, tests, at).select("o_orderkey", "o_custkey", "o_totalprice")
 
@@ -425,3 +462,98 @@ def _(spark, d):
         df = df.where(F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey", "o_totalprice")
         df._jdf.queryExecution().executedPlan()  # planned while the setting holds
         return df
+
+
+@query("storage_scan_not", f"SELECT {ORDER_COLUMNS} FROM orders WHERE o_orderstatus <> 'F' AND o_totalprice > 1000")
+def _(spark, d):
+    with setting(spark, spark__sql__python__filterPushdown__enabled="true"):
+        df = storage.storage_scan(spark, f"{d}/orders.parquet", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"])
+        df = df.where((F.col("o_orderstatus") != "F") & (F.col("o_totalprice") > 1000)).select("o_orderkey", "o_custkey", "o_totalprice")
+        df._jdf.queryExecution().executedPlan()  # planned while the setting holds
+        return df
+
+
+# ---- other sources, functions of Python, ways to run
+
+
+@query("generated_range", "SELECT i, i * i AS square FROM range(1000) t(i)")
+def _(spark, d):
+    return spark.range(1000).select(F.col("id").alias("i"), (F.col("id") * F.col("id")).alias("square"))
+
+
+@query("rows_source", "SELECT * FROM (VALUES (1, 'one'), (2, 'two'), (3, NULL)) t(k, name)")
+def _(spark, d):
+    return spark.createDataFrame(pa.table({"k": pa.array([1, 2, 3], pa.int32()), "name": ["one", "two", None]}))
+
+
+@query("arrow_function", "SELECT o_orderkey, o_totalprice * 1.2 AS with_tax FROM orders WHERE o_totalprice > 1000")
+def _(spark, d):
+    @F.arrow_udf("double")
+    def taxed(x: pa.Array) -> pa.Array:
+        return pc.multiply(x, 1.2)
+
+    return _t(spark, d, "orders").where(F.col("o_totalprice") > 1000).select("o_orderkey", taxed("o_totalprice").alias("with_tax"))
+
+
+@query("batch_function", "SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice / o_custkey > 1000")
+def _(spark, d):
+    def keep(batches):
+        for b in batches:
+            yield b.filter(pc.greater(pc.divide(b.column("o_totalprice"), pc.cast(b.column("o_custkey"), "double")), 1000))
+
+    o = _t(spark, d, "orders").select("o_custkey", "o_totalprice")
+    return o.mapInArrow(keep, o.schema)
+
+
+def _planned(spark, make, **confs) -> DataFrame:
+    with setting(spark, **confs):
+        df = make()
+        df._jdf.queryExecution().executedPlan()
+        return df
+
+
+WITH_TAX = "SELECT o_orderkey, o_totalprice * (1 + 20 / 100) AS with_tax FROM orders WHERE o_totalprice > 1000"
+
+
+def _with_tax(spark, d) -> DataFrame:
+    return _t(spark, d, "orders").where(F.col("o_totalprice") > 1000).select("o_orderkey", (F.col("o_totalprice") * (1 + F.lit(20) / F.lit(100))).alias("with_tax"))
+
+
+query("run_compiled", WITH_TAX)(lambda spark, d: _planned(spark, lambda: _with_tax(spark, d), spark__sql__codegen__wholeStage="true"))
+query("run_interpreted", WITH_TAX)(lambda spark, d: _planned(spark, lambda: _with_tax(spark, d), spark__sql__codegen__wholeStage="false", spark__sql__codegen__factoryMode="NO_CODEGEN"))
+query("run_small_batches", WITH_TAX)(lambda spark, d: _planned(spark, lambda: _with_tax(spark, d), spark__sql__parquet__columnarReaderBatchSize="128"))
+
+
+@query("merged_runs", f"SELECT {ORDER_COLUMNS} FROM orders ORDER BY o_totalprice, o_orderkey")
+def _(spark, d):
+    return sorting.merge_runs([_t(spark, d, "orders").where(F.pmod("o_custkey", F.lit(3)) == k).select("o_orderkey", "o_custkey", "o_totalprice") for k in range(3)], [("o_totalprice", False), ("o_orderkey", False)])
+
+
+@query("gathered", "SELECT CAST(1 AS BIGINT) AS partitions, count(*) AS n FROM orders")
+def _(spark, d):
+    # the last step of a plan that must end in one place: what is gathered is as small as the result
+    by = _t(spark, d, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).coalesce(1)
+    return by.withColumn("p", F.spark_partition_id()).agg(F.count_distinct("p").alias("partitions"), F.sum("n").alias("n"))
+
+
+@query("busiest_node", "SELECT count(*) > 0 AS some, CAST(count(*) AS BIGINT) AS n FROM orders")
+def _(spark, d):
+    o = _t(spark, d, "orders").select(joins.node_of("o_custkey", 8).alias("node"))
+    by = o.groupBy("node").agg(F.count(F.lit(1)).alias("k"))
+    return by.agg((F.max("k") > 0).alias("some"), F.sum("k").alias("n"))
+
+
+ESTIMATE = "CASE WHEN max(o_totalprice) = min(o_totalprice) THEN 0.5 ELSE 1 - least(1.0, greatest(0.0, ({0} - min(o_totalprice)) / (max(o_totalprice) - min(o_totalprice)))) END * count(*)"
+
+
+@query(
+    "estimates_beside_rows",
+    " UNION ALL ".join(f"SELECT {v} AS threshold, round({ESTIMATE.format(v)}, 3) AS estimated, CAST(count(*) FILTER (WHERE o_totalprice > {v}) AS BIGINT) AS measured FROM orders" for v in (1000, 100000, 400000)),
+)
+def _(spark, d):
+    o = _t(spark, d, "orders")
+    least, most, n = o.agg(F.min("o_totalprice"), F.max("o_totalprice"), F.count(F.lit(1))).first()
+    stats = cost.Stats(n, {"o_totalprice": least}, {"o_totalprice": most})
+    tests = [(v, round(cost.selectivity(stats, ("o_totalprice", ">", float(v))) * n, 3)) for v in (1000, 100000, 400000)]
+    counts = o.agg(*[F.count_if(F.col("o_totalprice") > v).alias(f"c{v}") for v, _ in tests])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(v).alias("threshold"), F.lit(e).alias("estimated"), F.col(f"c{v}").alias("measured")) for v, e in tests])))

@@ -27,22 +27,18 @@ FIRST_ORDER, YEAR = datetime.date(2024, 1, 1), 366
 FIRST_SIGNUP, SIGNUP_DAYS = datetime.date(2019, 1, 1), 5 * 365
 ZIPF = 1.1
 STATUS_WEIGHTS = {"shipped": 70, "delivered": 20, "returned": 6, "cancelled": 3, "pending": 1}
-NOTE_WORDS = "fragile gift leave with neighbour call before delivery rear door urgent reorder same as last time no invoice please wrap".split()
+NOTE_WORDS = [
+    "fragile", "gift", "leave", "with", "neighbour", "call", "before", "delivery", "rear", "door",
+    "urgent", "reorder", "same", "as", "last", "time", "no", "invoice", "please", "wrap",
+]
 SEGMENTS = ["consumer", "small business", "enterprise", "public sector"]
-COUNTRIES = {
-    "DE": ("Germany", "Europe"),
-    "FR": ("France", "Europe"),
-    "UK": ("United Kingdom", "Europe"),
-    "US": ("United States", "Americas"),
-    "PL": ("Poland", "Europe"),
-    "SE": ("Sweden", "Europe"),
-    "ES": ("Spain", "Europe"),
-    "IT": ("Italy", "Europe"),
-    "NL": ("Netherlands", "Europe"),
-    "JP": ("Japan", "Asia"),
-    "BR": ("Brazil", "Americas"),
-    "IN": ("India", "Asia"),
-}
+COUNTRIES = ["DE", "FR", "UK", "US", "PL", "SE", "ES", "IT", "NL", "JP", "BR", "IN"]
+COUNTRY_NAMES = {
+    "DE": "Germany", "FR": "France", "UK": "United Kingdom", "US": "United States", "PL": "Poland", "SE": "Sweden",
+    "ES": "Spain", "IT": "Italy", "NL": "Netherlands", "JP": "Japan", "BR": "Brazil", "IN": "India",
+}
+REGIONS = {"US": "Americas", "BR": "Americas", "JP": "Asia", "IN": "Asia"}
+OTHER_REGION = "Europe"
 PAGED_DICTIONARIES = ["order_date", "customer_id", "status", "quantity"]
 PAGE_BYTES = 1024
 
@@ -83,7 +79,7 @@ def shuffled(t: pa.Table) -> pa.Table:
 
 def customers() -> pa.Table:
     r = random.Random(CUSTOMER_SEED)
-    homes = [r.choice(list(COUNTRIES)) for _ in range(CUSTOMERS)]
+    homes = [r.choice(COUNTRIES) for _ in range(CUSTOMERS)]
     segments = [r.choice(SEGMENTS) for _ in homes]
     since = [FIRST_SIGNUP + datetime.timedelta(r.randrange(SIGNUP_DAYS)) for _ in homes]
     ids = range(1, CUSTOMERS + 1)
@@ -92,7 +88,7 @@ def customers() -> pa.Table:
 
 
 def countries() -> pa.Table:
-    return _table(((code, *rest) for code, rest in COUNTRIES.items()), _fields(country=pa.string(), name=pa.string(), region=pa.string()))
+    return _table(((c, COUNTRY_NAMES[c], REGIONS.get(c, OTHER_REGION)) for c in COUNTRIES), _fields(country=pa.string(), name=pa.string(), region=pa.string()))
 
 
 def write_months(t: pa.Table, root: str) -> None:

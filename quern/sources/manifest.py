@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import decimal
 import json
 import struct
 from collections.abc import Iterable
@@ -15,10 +16,6 @@ from pyspark.sql import functions as F
 from quern.functions.predicates import Comparison, could_match
 
 
-def _plain(x):
-    return x.isoformat() if isinstance(x, (datetime.date, datetime.datetime)) else x
-
-
 def build_manifest(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per file: path, rows, low and high of each column. One aggregate over the scan."""
     bounds = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("low", F.min), ("high", F.max))]
@@ -29,14 +26,34 @@ def write_manifest(df: DataFrame, columns: list[str], path: str) -> None:
     build_manifest(df, columns).coalesce(1).write.mode("overwrite").parquet(path)
 
 
+def alike(bound, value):
+    """A bound and a value as things that compare: a date stands for its midnight beside a time, an
+    aware time for the same moment in UTC. Other mixtures raise TypeError: no order is right for them."""
+
+    def moment(x):
+        if isinstance(x, datetime.datetime):
+            return x.astimezone(datetime.timezone.utc).replace(tzinfo=None) if x.tzinfo else x
+        return datetime.datetime.combine(x, datetime.time()) if isinstance(x, datetime.date) else x
+
+    one, other = moment(bound), moment(value)
+    number = (int, float, decimal.Decimal)
+    if not (type(one) is type(other) or isinstance(one, number) and isinstance(other, number)):
+        raise TypeError(f"bound {bound!r} and value {value!r} don't compare")
+    return one, other
+
+
+def may_hold(file: dict, test: Comparison) -> bool:
+    ends = [file.get(f"{end}_{test.column}") for end in ("low", "high")]
+    if None in ends:  # a column without bounds rules nothing out
+        return True
+    (low, value), (high, _) = (alike(x, test.value) for x in ends)
+    return could_match(test.op, value, low, high)
+
+
 def prune_files(manifest: Iterable[dict], tests: Iterable[Comparison]) -> list[str]:
-    """Paths of the files that may hold a match. A column without bounds rules nothing out."""
+    """Paths of the files that may hold a match."""
     tests = list(tests)
-    return [
-        f["path"]
-        for f in manifest
-        if all(could_match(t.op, _plain(t.value), _plain(f.get(f"low_{t.column}")), _plain(f.get(f"high_{t.column}"))) for t in tests)
-    ]
+    return [f["path"] for f in manifest if all(may_hold(f, t) for t in tests)]
 
 
 def read_pruned(spark: SparkSession, manifest_path: str, tests: list[Comparison], schema_of: str) -> DataFrame:

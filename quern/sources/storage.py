@@ -16,14 +16,22 @@ from pyspark.sql.datasource import (
     InputPartition,
     LessThan,
     LessThanOrEqual,
+    Not,
 )
 
 OPS = {EqualTo: "==", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 
 class RowGroup(InputPartition):
-    def __init__(self, index: int):
-        self.index = index
+    def __init__(self, path: str, index: int):
+        self.path, self.index = path, index
+
+
+def files_of(path: str) -> list[str]:
+    """The Parquet files at a path: itself, or those in a folder."""
+    import pyarrow.dataset as ds
+
+    return sorted(ds.dataset(path, format="parquet", exclude_invalid_files=False).files)
 
 
 class StorageReader(DataSourceReader):
@@ -32,15 +40,17 @@ class StorageReader(DataSourceReader):
 
     def pushFilters(self, filters):
         for f in filters:
-            if type(f) in OPS and len(f.attribute) == 1:
-                self.tests.append((f.attribute[0], OPS[type(f)], f.value))
+            # != comes as Not(EqualTo)
+            inner = f.child if type(f) is Not and type(f.child) is EqualTo else f
+            if type(inner) in OPS and len(inner.attribute) == 1:
+                self.tests.append((inner.attribute[0], OPS[type(inner)] if inner is f else "!=", inner.value))
             else:
                 yield f
 
     def partitions(self):
         import pyarrow.parquet as pq
 
-        return [RowGroup(i) for i in range(pq.ParquetFile(self.path).num_row_groups)]
+        return [RowGroup(path, i) for path in files_of(self.path) for i in range(pq.read_metadata(path).num_row_groups)]
 
     def read(self, partition):
         import operator
@@ -48,12 +58,12 @@ class StorageReader(DataSourceReader):
         import pyarrow.compute as pc
         import pyarrow.dataset as ds
 
-        kernel = {"==": operator.eq, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
+        kernel = {"==": operator.eq, "!=": operator.ne, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
         test = None
         for name, op, value in self.tests:
             one = kernel[op](pc.field(name), value)
             test = one if test is None else test & one
-        fragment = next(iter(ds.dataset(self.path).get_fragments()))
+        (fragment,) = ds.dataset(partition.path, format="parquet").get_fragments()
         yield from fragment.subset(row_group_ids=[partition.index]).to_batches(columns=self.columns, filter=test)
 
 
@@ -66,7 +76,7 @@ class StorageSource(DataSource):
         import pyarrow.parquet as pq
         from pyspark.sql.pandas.types import from_arrow_schema
 
-        whole = pq.read_schema(self.options["path"])
+        whole = pq.read_schema(files_of(self.options["path"])[0])
         wanted = self.options.get("columns")
         return from_arrow_schema(whole if not wanted else whole.__class__.empty_table(whole).select(wanted.split(",")).schema)
 
