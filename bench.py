@@ -11,6 +11,7 @@ import time
 NAMES = [
     "scan_project", "filter_expr", "filter_range_date", "agg_by_key", "agg_multi_key", "two_phase_agg", "having_scalar_subquery", "exists",
     "join_inner", "join_salted", "join_multiway", "join_reordered", "self_join_count", "join_agg_sort", "sort_full", "top_k", "top_k_per_group", "manifest_pruned",
+    "page_pruned", "hive_pruned", "join_broadcast", "join_shuffle", "join_merge", "join_bloom", "run_compiled", "run_interpreted", "merged_runs",
 ]
 
 
