@@ -906,6 +906,13 @@ def test_base_spans(odd, none, table, spark):
     want = [(r["doc_id"], r["text"]) for r in table] + [(100 + k, t) for k, t in enumerate(TRICKY)]
     sha = Counter((i, hashlib.sha256(secrets.written(base_by_force(t or "")).encode()).hexdigest()) for i, t in want)
     assert Counter((r["doc_id"], r["base_sha256"]) for r in got) == sha
+    each = Counter((i, *(sum(k == n for _, k, _ in base_by_force(t or "")) for n in range(3))) for i, t in want)
+    assert Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"]) for r in got) == each
+    for r in got:
+        spans = [x.split(":") for x in r["spans"].split(",") if x]
+        base = [(int(s), secrets.KINDS.index(k), int(e)) for k, s, e in spans if k != "crf"]
+        assert hashlib.sha256(secrets.written(base).encode()).hexdigest() == r["base_sha256"] and len(spans) - len(base) == r["n_crf"]
+        assert [int(s) for _, s, _ in spans] == sorted(int(s) for _, s, _ in spans)
     assert secrets.scan_secrets(none).count() == 0
 
 
@@ -1001,6 +1008,25 @@ def test_same_as_sql(spark, sf, name):
     assert sorted(map(tuple, cur.fetchall())) == sorted(tuple(r) for r in df.select(*names).collect())
 
 
+def test_stages_odd(spark, sf, odd, none, table):
+    """Nulls, empty, long and repeated rows, and an empty table, through every stage."""
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, sf)
+        rows = rows_of(got)
+        if name == "best_fit_packing":
+            assert keys(r for r in rows if r["piece"] == 0) == keys(table)
+            assert sum(r["length"] for r in rows) == sum(r["length"] for r in rows_of(packing.pack_documents(odd)))
+        else:
+            assert got.columns == odd.columns and not keys(rows) - keys(table)
+        if name in ("secret_scans", "mixing_sources"):
+            assert keys(rows) == keys(table)
+        if name == "mixing_sources":
+            assert same_rows(rows, table)
+        assert stage(spark, none, sf).count() == 0
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
@@ -1024,12 +1050,17 @@ def test_pipeline_stages(spark, sf):
             assert keys(got) == keys(before)
             assert not any(base_by_force(r["text"]) for r in got)
         if name == "mixing_sources":
+            mixed = got
             assert keys(got) == keys(before) and Counter(r["text"] for r in got) == Counter(r["text"] for r in before)
         if name == "best_fit_packing":
             assert set(keys(got)) == set(keys(before))
             continue
         assert out.columns == columns
         docs = out
+    # packing follows the mixed order: given the same rows in another one, it places them elsewhere
+    place = lambda x: {(r["doc_id"], r["piece"]): (r["sequence_id"], r["offset"]) for r in x}
+    unmixed = spark.createDataFrame(sorted((tuple(r[c] for c in columns) for r in mixed), key=repr), docs.schema)
+    assert place(rows_of(corpus_pipeline.STAGES[-1][1](spark, unmixed, sf))) != place(kept["best_fit_packing"])
     whole = rows_of(corpus_pipeline.run(spark, sf))
     pick = lambda x: Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in x)
     assert pick(whole) == pick(kept["best_fit_packing"])
