@@ -144,26 +144,28 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each connected component, for the nodes of edges (a, b).
 
     Alternates stars to larger and to smaller neighbours; each round is written to the shared
-    folder. Rounds end when the edges no longer change; each moves edges to smaller nodes, so they do.
-    Minima are summed before the shuffle, and a node of very many edges is told to them by broadcast.
+    folder. Rounds end when all edges go from nodes that have one to nodes that have none; each round moves
+    edges to smaller nodes, so it comes to that. Minima are summed before the shuffle, and a node of very
+    many edges is told to them by broadcast.
     """
 
     def lowest(x: DataFrame) -> DataFrame:
         return x.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
 
+    def open_(e: DataFrame) -> bool:
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        many = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        return many.agg(F.max((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0))).first()[0] or False
+
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark, n = None, e.count()
-    while n:
+    while open_(e):
+        n = e.count()
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = lowest(both).withColumn("m", F.least("u", "m"))
         large = spread_join(both, low, ["u"], "n", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = lowest(large)
         hung = spread_join(large, low, ["u"], "n", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        state = tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-        if state == mark:
-            break
-        mark, n = state, state[0]
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -1064,3 +1064,31 @@ def test_pipeline_stages(spark, sf):
     whole = rows_of(corpus_pipeline.run(spark, sf))
     pick = lambda x: Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in x)
     assert pick(whole) == pick(kept["best_fit_packing"])
+
+
+# ---- components
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_chains_and_hubs(spark, seed):
+    r = np.random.default_rng(seed)
+    edges = [(k, k + 1) for k in range(0, 40)] + [(1000, 1001 + k) for k in range(700)] + [(2000 + k, 2500) for k in range(300)]
+    edges += [(3000 + int(a), 3000 + int(b)) for a, b in r.integers(0, 300, (200, 2))] + [(1700, 2001)] * seed
+    pairs = [edges[k] if r.random() < 0.5 else edges[k][::-1] for k in r.permutation(len(edges))]
+    got = {x["node"]: x["component"] for x in rows_of(common.components(spark.createDataFrame(pairs, "a long, b long").repartition(3)))}
+    nodes = {x for a, b in pairs if a != b for x in (a, b)}
+    want = closure(nodes, pairs := [(a, b) for a, b in pairs if a != b])
+    assert got == want
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_spread_join_is_the_join(spark):
+    r = np.random.default_rng(1)
+    rows = [(None if k % 50 == 0 else int(min(9, r.geometric(0.3))), k) for k in range(2000)]
+    left = spark.createDataFrame(rows, "k int, a int")
+    counts = Counter(k for k, _ in rows)
+    right = spark.createDataFrame([(k, f"v{k}", counts[k]) for k in range(1, 8)], "k int, v string, n long")
+    for how in ("inner", "left"):
+        want = Counter(tuple(x) for x in left.join(right.drop("n"), "k", how).collect())
+        for least in (1, 256, 5000):
+            assert Counter(tuple(x) for x in common.spread_join(left, right, ["k"], "n", 2000, how, least).collect()) == want
