@@ -18,6 +18,7 @@ from quern.operators import aggregates, joins, sharing, sorting
 from quern.plans import cost, sqltext
 from quern.session import setting
 from quern.sources import manifest, storage, tables
+from quern.streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -558,3 +559,8 @@ def _(spark, d):
     tests = [(v, round(cost.selectivity(stats, ("o_totalprice", ">", float(v))) * n, 3)) for v in (1000, 100000, 400000)]
     counts = o.agg(*[F.count_if(F.col("o_totalprice") > v).alias(f"c{v}") for v, _ in tests])
     return counts.select(F.inline(F.array(*[F.struct(F.lit(v).alias("threshold"), F.lit(e).alias("estimated"), F.col(f"c{v}").alias("measured")) for v, e in tests])))
+
+
+@query("windowed_counts", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _(spark, d):
+    return events.windowed_counts(_t(spark, d, "events"), "ts", "event_type")

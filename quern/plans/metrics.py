@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 
 NAMES = {
     "numOutputRows": "rows_out",
+    "numInputRows": "rows_in",
+    "numInputBatches": "batches_in",
+    "numOutputBatches": "batches_out",
     "shuffleBytesWritten": "bytes_shuffled",
     "shuffleRecordsWritten": "rows_shuffled",
     "spillSize": "bytes_spilled",
@@ -21,6 +24,13 @@ NAMES = {
 }
 
 
+#: Nodes that hand on every row and count none.
+PASSING = ("Project", "Exchange", "Sort", "InputAdapter", "AQEShuffleRead", "ColumnarToRow") + tuple(f"WholeStageCodegen ({k})" for k in range(1, 100))
+#: Nodes that never give more rows than they take. Aggregates are none: where a sort samples what they give,
+#: Spark runs them again and counts their rows twice, but not those of the shuffle below.
+SHRINKING = ("Filter", "CollectLimit", "LocalLimit", "GlobalLimit", "TakeOrderedAndProject")
+
+
 @dataclass
 class Node:
     name: str
@@ -35,16 +45,26 @@ class Node:
     def total(self, metric: str) -> int:
         return sum(n.metrics.get(metric, 0) for n in self.walk())
 
+    def rows_in(self) -> int | None:
+        """Rows that the nodes below gave, seen through those that count none; None where some are unknown."""
+        total = 0
+        for c in self.children:
+            n = c.metrics["rows_out"] if "rows_out" in c.metrics else c.rows_in() if c.children and c.name in PASSING else None
+            if n is None:
+                return None
+            total += n
+        return total if self.children else None
+
     def check(self) -> list[str]:
-        """Row invariants that hold for any plan: filters and limits add no rows."""
+        """Row invariants that hold for any plan: nodes that only drop or gather rows add none, and what counts
+        its input counts what the nodes below gave."""
         wrong = []
         for n in self.walk():
-            below = n.children
-            while len(below) == 1 and "rows_out" not in below[0].metrics:
-                below = below[0].children
-            if n.name in ("Filter", "CollectLimit", "LocalLimit", "GlobalLimit") and len(below) == 1 and "rows_out" in n.metrics:
-                if n.metrics["rows_out"] > below[0].metrics["rows_out"]:
-                    wrong.append(f"{n.name} gave more rows than it took")
+            taken, given = n.rows_in(), n.metrics.get("rows_out")
+            if n.name in SHRINKING and None not in (taken, given) and given > taken:
+                wrong.append(f"{n.name} gave {given} rows and took {taken}")
+            if "rows_in" in n.metrics and taken is not None and n.metrics["rows_in"] != taken:
+                wrong.append(f"{n.name} counted {n.metrics['rows_in']} rows of {taken}")
         return wrong
 
     def to_json(self) -> str:

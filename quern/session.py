@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -48,3 +49,28 @@ def shared_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return found or sc.getCheckpointDir()
+
+
+_written: dict[str, list[str]] = {}
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, for a table that cuts lineage; `clear_shared` removes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def is_kept(spark: SparkSession, path: str) -> bool:
+    """Whether a path of `shared_path` has not been cleared."""
+    return path in _written.get(spark.sparkContext.applicationId, [])
+
+
+def clear_shared(spark: SparkSession) -> int:
+    """Remove what this application wrote by `shared_path`, once no result that reads it is wanted any more."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.joins import estimated_bytes
-from quern.session import shared_dir
+from quern.session import is_kept, shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,8 +60,8 @@ def write_by_month(df: DataFrame, path: str, date: str) -> None:
 def laid_out(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> str:
     """Path of a layout of a table that is written once a session and then only read."""
     done = _layouts.setdefault(spark.sparkContext.applicationId, {})
-    if (name, source) not in done:
-        path = f"{shared_dir(spark).rstrip('/')}/layout-{name}-{uuid.uuid4().hex}"
+    if not is_kept(spark, done.get((name, source), "")):
+        path = shared_path(spark, f"layout-{name}")
         write(path)
         done[name, source] = path
     return done[name, source]

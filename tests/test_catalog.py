@@ -39,6 +39,5 @@ def test_same_as_sql(spark, duck, sf, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
-def test_runs(spark, sf, name):
-    assert catalog.QUERIES[name](spark, sf).count() > 0
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLE)
