@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators.joins import broadcast_if_small
-from quern.session import shared_dir
+from quern.session import shared_path
 from quern.sources.tables import table
 
 #: Largest table that is broadcast, by Spark's estimate of its size.
@@ -30,7 +29,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: what is lost later is read again,
     not computed again, and every reader sees the same rows."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
