@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -123,7 +124,8 @@ def input_order(df: DataFrame, out: str, store: bool = False) -> DataFrame:
     spot = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
     # one row a file on the driver; a longer name has a larger number
     names = sorted((r[0] for r in spot.select("_file").distinct().collect()), key=lambda x: (len(x), x))
-    files = df.sparkSession.createDataFrame(list(enumerate(names)), "_nth long, _name string")
+    # as Arrow: Spark knows the size of such a table, and so whether it can be broadcast
+    files = df.sparkSession.createDataFrame(pa.table({"_nth": pa.array(range(len(names)), pa.int64()), "_name": pa.array(names, pa.string())}))
     return spot.join(small(files), F.col("_file") == F.col("_name")).withColumn(out, F.expr("shiftleft(_nth, 33) + _at")).select(*df.columns, out)
 
 
