@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators.joins import broadcast_if_small
-from quern.session import shared_path
+from quern.session import setting, shared_path
 from quern.sources.tables import table
 
 #: Largest table that is broadcast, by Spark's estimate of its size.
 BROADCAST_BYTES = 8 << 20
+BATCH_ROWS = 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +32,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     not computed again, and every reader sees the same rows."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    # rows of a batch that Python workers take: with long texts, Spark's 10,000 hold much memory on both sides
+    with setting(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS)):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,7 +63,7 @@ def slices(batches, most_bytes: int = 8 << 20, column: str = "text") -> Iterator
 class WordHash(dict):
     """64-bit hash of each word, remembered up to a bound."""
 
-    def __init__(self, seed: int, bound: int = 300_000):
+    def __init__(self, seed: int, bound: int = 200_000):
         import xxhash
 
         self.of, self.seed, self.bound = xxhash.xxh3_64_intdigest, seed, bound

@@ -50,7 +50,7 @@ class Encoder:
     closes a word. All others go to the tokenizer one by one.
     """
 
-    def __init__(self, path: str, bound: int = 400_000):
+    def __init__(self, path: str, bound: int = 200_000):
         import json
         import os
 

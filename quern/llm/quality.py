@@ -41,7 +41,7 @@ class Shapes(dict):
     two beginnings, which its inflections share; flags of its shape; its length."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         core = w.strip(b".,;:!?\"'()|").lower()
         flags = (not core) | (not w[-1:].isalnum() and w[-1] < 128 and w[-1:] not in b".,;:!?\"')") << 1 | core.isdigit() << 2 | w[:1].isupper() << 3

@@ -92,7 +92,7 @@ def shared() -> np.ndarray:
 
 class Known(dict):
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         x = self[w] = word_class(w)
         return x
