@@ -14,12 +14,14 @@ longest pieces, so that the first sequences hold the first part of the input.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,10 @@ PART = 4096
 SEED = 31
 #: Marks that are a token of their own at the end of a word.
 TAIL = ".,;:!?|%$*&#\"()"
+#: Words that the tokenizer's normalizer leaves as they are, and its pattern whole.
+LETTERS = "^[a-zß-öø-ÿ]+$"
+#: Of the bytes of such words, those that another character stands for in the vocabulary.
+MARKS = {"\x9f": "Ł", "\xa0": "ł", "\xad": "Ń"}
 
 
 def vocabulary() -> str:
@@ -46,22 +52,26 @@ class Encoder:
     """Ids of whole texts, as little-endian bytes, by way of remembered words.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    words. Unknown words of letters only are encoded many at a time: each ends with one token that
-    closes a word. All others go to the tokenizer one by one.
+    words. Each word of some texts is looked up once. Words of Latin letters go to the tokenizer's merges
+    in lower case, many at a time, without the marks behind them: each ends with one token that closes a
+    word. So do other words of letters only, but through the whole tokenizer. All others go to it one by one.
     """
 
-    def __init__(self, path: str, bound: int = 200_000):
+    def __init__(self, path: str, bound: int = 300_000):
         import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.t = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.t.model)  # the same model, not a copy
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         self.closes = np.zeros(self.t.get_vocab_size(), dtype=bool)
         self.closes[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        # ids of words, of words without marks and in lower case, and of marks
         self.words: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {"": b""}
         self.bound = bound
@@ -70,26 +80,35 @@ class Encoder:
         # the fast form leaves out offsets, which nobody reads here
         return np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
+    def closed(self, n: int, ids: np.ndarray) -> list[bytes] | None:
+        """The ids of n words apart, if each ends with a token that closes a word."""
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != n or ends[-1] != len(ids):
+            return None
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [data[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
+
+    def learn_latin(self, words: list[bytes]) -> None:
+        text = b" ".join(words).decode("latin-1")
+        for byte, mark in MARKS.items():
+            text = text.replace(byte, mark)
+        found = self.closed(len(words), np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4"))
+        if found:
+            self.words.update(zip(words, found, strict=True))
+        else:
+            self.learn(words)
+
     def learn_cores(self, cores: list[str]) -> None:
         plain = [c for c in cores if c.isalpha() and "İ" not in c]
         if plain:
-            ids = self.ids(" ".join(plain))
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(plain) and ends[-1] == len(ids):
-                data, at = ids.tobytes(), 0
-                for c, end in zip(plain, (4 * ends).tolist(), strict=True):
-                    self.cores[c] = data[at:end]
-                    at = end
+            self.cores.update(zip(plain, self.closed(len(plain), self.ids(" ".join(plain))) or (), strict=False))
         for c in cores:
             if c not in self.cores:
                 self.cores[c] = self.ids(c).tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > self.bound:
-            self.words.clear()
-        if len(self.cores) > self.bound:
+    def learn(self, new: list[bytes]) -> None:
+        if len(self.cores) > self.bound // 2:
             self.cores = {"": b""}
-        new = list(words)
         cores, tails = [], []
         for s in b"\n".join(new).decode("utf-8", "replace").split("\n"):
             core = s.rstrip(TAIL)
@@ -105,18 +124,58 @@ class Encoder:
         known = self.cores
         self.words.update(zip(new, [known[c] + known[t] if t else known[c] for c, t in zip(cores, tails, strict=True)], strict=True))
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.words) if split else set()
-        if new:
-            before = len(self.words)
-            self.learn(new)
-            if len(self.words) < before:  # what was forgotten may be needed here
-                again = set().union(*split).difference(self.words)
-                if again:
-                    self.learn(again)
-        known = self.words.__getitem__
-        return [b"".join(map(known, w)) for w in split]
+    def known(self, latin: list[bytes], others: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, and of others that may repeat some. The newest half of what is remembered stays."""
+        for words, learn in ((latin, self.learn_latin), (others, self.learn)):
+            new = [w for w in words if w not in self.words]
+            if new:
+                learn(new)
+        found = [self.words[w] for w in itertools.chain(latin, others)]
+        if len(self.words) > self.bound:
+            self.words = dict(itertools.islice(self.words.items(), len(self.words) - self.bound // 2, None))
+        return found
+
+    def parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Of each of some distinct words, which two ids in the list are its own: of the word, or of the word without
+        marks in lower case, and of the marks."""
+        core = pc.ascii_rtrim(words, characters=TAIL)
+        low = pc.ascii_lower(core)
+        easy = pc.match_substring_regex(low, LETTERS).to_numpy(zero_copy_only=False)
+        stem = np.asarray(pc.binary_length(core))
+        marked = np.flatnonzero(easy & (stem < np.asarray(pc.binary_length(words))))
+        plain = lambda x: x.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()  # noqa: E731; faster than to_pylist
+        ends = pa.array([w[n:] for w, n in zip(plain(words.take(pa.array(marked))), stem[marked].tolist(), strict=True)], pa.large_binary()).dictionary_encode()
+        stems = low.filter(pa.array(easy)).dictionary_encode()
+        latin, marks, hard = plain(stems.dictionary), ends.dictionary.to_pylist(), plain(words.filter(pa.array(~easy)))
+        found = self.known(latin, [*marks, *hard])
+        one, two = np.empty(len(words), dtype=np.int64), np.full(len(words), len(found))
+        one[easy] = stems.indices
+        one[~easy] = np.arange(len(latin) + len(marks), len(found))
+        two[marked] = len(latin) + np.asarray(ends.indices)
+        return one, two, [*found, b""]
+
+    def __call__(self, texts: list[bytes] | pa.Array) -> list[bytes]:
+        if not len(texts):
+            return []
+        data = pa.array(texts, pa.large_binary()) if isinstance(texts, list) else texts.cast(pa.large_binary())
+        # cuts at 0x20 and 0x09-0x0D, whatever the other bytes are; ends may give empty words, which have no ids
+        split = pc.ascii_split_whitespace(data.view(pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        one, two, found = self.parts(words.dictionary)
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        flat, _ = gathered(np.frombuffer(b"".join(found), dtype="<u4"), size, np.stack([one, two], axis=1).ravel())
+        out, end = gathered(flat, size[one] + size[two], np.asarray(words.indices))
+        cuts = np.asarray(split.offsets)
+        at = np.concatenate([[0], end])[cuts - cuts[0]].tolist()
+        return [out[lo:hi].tobytes() for lo, hi in zip(at, at[1:], strict=False)]
+
+
+def gathered(flat: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of stretches that follow each other in `flat`, those asked for, one after another; and where each ends."""
+    n = size[which]
+    end = n.cumsum()
+    # a stretch's place in `flat`, less its place in the result
+    return flat[np.repeat((size.cumsum() - size)[which] - (end - n), n) + np.arange(n.sum())], end
 
 
 @functools.cache
@@ -136,7 +195,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, k
         encode = encoder(path)
         for b in slices(batches, 2 << 20):
             own, names, at = [], [], []
-            for k, ids in enumerate(encode(b.column(b.num_columns - 1).to_pylist())):
+            for k, ids in enumerate(encode(b.column(b.num_columns - 1))):
                 ids += close
                 for p in range(0, len(ids), 4 * capacity):
                     own.append(k)
