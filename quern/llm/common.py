@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators.joins import broadcast_if_small
-from quern.session import setting, shared_path
+from quern.session import setting, shared_path, trim_driver
 from quern.sources.tables import table
 
 #: Largest table that is broadcast, by Spark's estimate of its size.
@@ -35,6 +35,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     # rows of a batch that Python workers take: with long texts, Spark's 10,000 hold much memory on both sides
     with setting(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS)):
         df.write.parquet(path)
+    trim_driver(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

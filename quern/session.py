@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
 
@@ -51,6 +52,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found or sc.getCheckpointDir()
 
 
+def trim_driver(spark: SparkSession) -> bool:
+    """Have the driver's JVM give back to the system what its native code (compiler, codecs, buffers) has
+    freed: the C library keeps it in an arena for each of many threads. Nothing in use is touched. False
+    where a JVM has no such command."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+
+    def array(kind: str, *items):
+        out = gateway.new_array(getattr(jvm.java.lang, kind), len(items))
+        for k, x in enumerate(items):
+            out[k] = x
+        return out
+
+    of = jvm.java.lang.Class.forName
+    kinds = array("Class", *map(of, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")))
+    try:
+        # the server's own class is closed to calls from outside, its interface isn't
+        call = of("javax.management.MBeanServer").getMethod("invoke", kinds)
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), array("Object", name, "systemTrimNativeHeap", array("Object"), array("String")))
+    except Py4JError:
+        return False
+    return True
+
+
 _written: dict[str, list[str]] = {}
 
 

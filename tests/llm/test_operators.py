@@ -1106,3 +1106,23 @@ def test_spread_join_is_the_join(spark):
         want = Counter(tuple(x) for x in left.join(right.drop("n"), "k", how).collect())
         for least in (1, 256, 5000):
             assert Counter(tuple(x) for x in common.spread_join(left, right, ["k"], "n", 2000, how, least).collect()) == want
+
+
+def test_freed_memory_of_the_driver_goes_back(spark):
+    """Native memory that is freed below memory in use stays with the process, until a stored table has it given back."""
+    jvm = spark.sparkContext._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+
+    def mb():
+        with open(f"/proc/{pid}/smaps_rollup") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("Pss_Anon")) / 1024
+
+    empty = mb()
+    coders = [jvm.java.util.zip.Deflater() for _ in range(1500)]
+    full = mb()
+    for x in coders[:-1]:
+        x.end()
+    common.materialize(spark.range(10), "small")
+    assert full - empty > 100
+    assert mb() < full - 0.5 * (full - empty)
+    coders[-1].end()
